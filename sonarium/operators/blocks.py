@@ -71,32 +71,56 @@ def attach_by_block(
     return match_keys(cut, spread, [*keys, "_blk"]).drop("_blk")
 
 
+Part = tuple[str, Column]
+
+_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _partial(kind: str, col: Column) -> Column:
+    return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](col)
+
+
 def with_group_stats(
-    df: DataFrame, keys: Sequence[str], idx: str, bits: int = BLOCK_BITS, **aggs: Column
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    bits: int = BLOCK_BITS,
+    carry: Mapping[str, Column] | None = None,
+    keep_block: bool = False,
+    **totals: Part,
 ) -> DataFrame:
-    """Add per-group aggregates to every row; ``idx`` is the dense position inside the group."""
-    stats = df.groupBy(*keys).agg(
-        F.min(idx).alias("_first"), F.max(idx).alias("_last"), *[c.alias(n) for n, c in aggs.items()]
+    """Add group totals (``name=(count|sum|min|max, column)``) and carries (sums over the earlier blocks) to every row.
+
+    The rows are read twice: once to reduce each (group, block) to one row, once to join those rows back on the same
+    key. Merging the blocks of a group happens on the reduced rows only.
+    """
+    carry = carry or {}
+    cut = df.withColumn("_blk", F.shiftright(F.col(idx), bits))
+    parts = cut.groupBy(*keys, "_blk").agg(
+        *[_partial(kind, c).alias(f"_p_{n}") for n, (kind, c) in totals.items()],
+        *[F.sum(c).alias(f"_c_{n}") for n, c in carry.items()],
     )
-    return attach_by_block(df, stats, keys, idx, "_first", "_last", bits)
+    whole = Window.partitionBy(*keys)
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    side = parts.select(
+        *keys,
+        "_blk",
+        *[_MERGE[kind](f"_p_{n}").over(whole).alias(n) for n, (kind, _) in totals.items()],
+        *[F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0.0)).alias(n) for n in carry],
+    )
+    joined = match_keys(cut, side, [*keys, "_blk"])
+    return joined if keep_block else joined.drop("_blk")
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: int = BLOCK_BITS, **totals: Part
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` along ``idx``: block totals first, then the sum inside each block."""
-    cut = df.withColumn("_blk", F.shiftright(F.col(idx), bits))
-    totals = cut.groupBy(*keys, "_blk").agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_carry"))
+    """Inclusive running sum of ``value`` along ``idx``, with group totals from the same pass if asked for."""
+    carried = with_group_stats(df, keys, idx, bits, {"_carry": F.col(value)}, keep_block=True, **totals)
     inside = (
         Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        match_keys(cut, carried, [*keys, "_blk"])
-        .withColumn(out, F.col("_carry") + F.sum(value).over(inside))
-        .drop("_blk", "_carry")
-    )
+    return carried.withColumn(out, F.col("_carry") + F.sum(value).over(inside)).drop("_blk", "_carry")
 
 
 def with_previous(
@@ -141,8 +165,9 @@ def order_stats(
     A mergeable sketch brackets each wanted rank between two values. Rows outside the brackets collapse to one count per
     gap, rows inside to one count per distinct value, both before the shuffle; the exact ranks are then read from those
     counts, about ``4/accuracy`` of the group. Kinds: ``linear`` interpolates at q*(n-1), ``floor_n`` takes
-    sorted[floor(n*q)], ``floor_n1`` takes sorted[floor(q*(n-1))]. With ``idx`` the brackets reach the rows by block,
-    otherwise (few groups) by a checked broadcast; without keys by a scalar subquery.
+    sorted[floor(n*q)], ``floor_n1`` takes sorted[floor(q*(n-1))]. With ``idx`` the brackets reach the rows by block
+    (and the result keeps ``_first``/``_last`` for a later :func:`attach_by_block`), otherwise (few groups) by a checked
+    broadcast; without keys by a scalar subquery.
     """
     margin = 4.0 / accuracy
     names = list(picks)
@@ -158,20 +183,25 @@ def order_stats(
         sketch = data.agg(F.struct(*sketch_cols).alias("_s"))
         rows = data.withColumn("_s", sketch.scalar()).select("_v", "_s._n", "_s._a", "_s._b")
     elif idx:
-        sketch = data.groupBy(*keys).agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"), *sketch_cols)
-        rows = attach_by_block(data, sketch, keys, idx, "_first", "_last")
+        extent = [F.min(idx).alias("_first"), F.max(idx).alias("_last")]
+        sketch = data.groupBy(*keys).agg(*extent, *sketch_cols).withColumns({"_i0": F.col("_first"), "_i1": F.col("_last")})
+        rows = attach_by_block(data, sketch, keys, idx, "_i0", "_i1")
     else:
         rows = attach_small(data, data.groupBy(*keys).agg(*sketch_cols), keys)
+    held_cols = ["_n", "_first", "_last"] if idx else ["_n"]
     inside = reduce(
         lambda x, y: x | y,
         [F.col("_v").between(F.col("_a")[j], F.col("_b")[j]) for j in range(len(names))],
     )
     gap = reduce(lambda x, y: x + y, [(F.col("_b")[j] < F.col("_v")).cast("int") for j in range(len(names))])
     counts = (
-        rows.select(*keys, "_n", "_v", F.when(inside, F.col("_v")).alias("_d"), F.when(~inside, gap).alias("_gap"))
+        rows.select(*keys, *held_cols, "_v", F.when(inside, F.col("_v")).alias("_d"), F.when(~inside, gap).alias("_gap"))
         .groupBy(*keys, "_d", "_gap")
         .agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_n").alias("_n")
+            F.count(F.lit(1)).alias("_c"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            *[F.max(c).alias(c) for c in held_cols],
         )
     )
     order = Window.partitionBy(*keys).orderBy("_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -187,7 +217,7 @@ def order_stats(
         )
         return F.max(F.when(held, value_at))
 
-    wanted = []
+    wanted = [F.min("_first").alias("_first"), F.max("_last").alias("_last")] if idx else []
     for name in names:
         kind, q = picks[name]
         low, frac = _ranks(kind, q, F.col("_n"))
@@ -196,6 +226,7 @@ def order_stats(
     found = cum.groupBy(*keys).agg(*wanted) if keys else cum.agg(*wanted)
     return found.select(
         *keys,
+        *(["_first", "_last"] if idx else []),
         *[
             (F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p)
             if picks[p][0] == "linear"
