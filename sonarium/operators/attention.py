@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sonarium.operators.blocks import attach_by_block, with_group_stats
 from sonarium.operators.catalog import top_per_group
 
+# blocks of 64 matrix rows
+ROW_BITS = 6
+
 
 def explode_attention(df: DataFrame, clip: str = "clip", attention: str = "attention") -> DataFrame:
     """Nested [layer][head][i][j] to one row per cell; row-local."""
@@ -39,7 +42,7 @@ def pick_head(cells: DataFrame, layer: int = 6, head: int = 0) -> DataFrame:
     ).filter(F.col("_layer") == F.col("_pick")).select(
         "clip", "_layer", F.when(F.col("_has") == 1, head).otherwise(0).alias("_head"), "_i0", "_i1"
     )
-    placed = attach_by_block(candidates, wanted, ["clip"], "i", "_i0", "_i1")
+    placed = attach_by_block(candidates, wanted, ["clip"], "i", "_i0", "_i1", ROW_BITS)
     return placed.filter((F.col("layer") == F.col("_layer")) & (F.col("head") == F.col("_head"))).select(
         "clip", "i", "j", "w"
     )
@@ -81,12 +84,12 @@ def attention_pairs(words: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def frame_measures(matrix: DataFrame) -> DataFrame:
-    """Per (clip, frame): strongest outgoing, mean incoming, self attention, normalised row entropy, number of rows."""
+    """Per (clip, frame): strongest outgoing weight, sum of incoming, self attention, normalised entropy of the row."""
     row = Window.partitionBy("clip", "i")
     p = F.col("w") / F.col("_sum")
     rows = (
         matrix.withColumn("_sum", F.sum("w").over(row))
-        .groupBy("clip", F.col("i").alias("frame"))
+        .groupBy("clip", F.col("i").cast("long").alias("frame_index"))
         .agg(
             F.max("w").alias("max_outgoing"),
             F.sum(F.when(F.col("_sum") > 0, -p * F.log(p + 1e-10))).alias("_entropy"),
@@ -95,18 +98,15 @@ def frame_measures(matrix: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("i") == F.col("j"), F.col("w"))), F.lit(0.0)).alias("self_attention"),
         )
     )
-    columns = matrix.groupBy("clip", F.col("j").alias("frame")).agg(F.sum("w").alias("_incoming"))
-    joined = rows.join(columns, ["clip", "frame"], "left")
-    sized = with_group_stats(joined, ["clip"], "frame", _rows=("max", F.col("frame") + 1))
+    columns = matrix.groupBy("clip", F.col("j").cast("long").alias("frame_index")).agg(F.sum("w").alias("_incoming"))
     usable = (F.col("_total") > 0) & (F.col("_len") > 1)
-    return sized.select(
+    return rows.join(columns, ["clip", "frame_index"], "left").select(
         "clip",
-        F.col("frame").cast("long").alias("frame_index"),
+        "frame_index",
         "max_outgoing",
-        (F.coalesce("_incoming", F.lit(0.0)) / F.col("_rows")).alias("avg_incoming"),
+        F.coalesce("_incoming", F.lit(0.0)).alias("incoming"),
         "self_attention",
         F.when(usable, F.col("_entropy") / F.log(F.col("_len"))).otherwise(0.0).alias("attention_entropy"),
-        F.col("_rows").cast("long").alias("_rows"),
     )
 
 
@@ -115,9 +115,8 @@ def attention_timeline(words: DataFrame, matrix: DataFrame, step: float = 0.1) -
 
     The steps are counted as whole numbers, so the grid is the same wherever a clip's rows are.
     """
-    measures = frame_measures(matrix)
     ends = words.groupBy("clip").agg(F.max_by("end", "idx").alias("_duration"))
-    sizes = measures.groupBy("clip").agg(F.max("_rows").alias("_n"))
+    sizes = matrix.groupBy("clip").agg((F.max("i") + 1).cast("long").alias("_n"))
     grid = ends.join(sizes, "clip").filter(F.col("_duration") > 0).withColumn(
         "point", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_duration") / step) - 1))
     )
@@ -127,10 +126,13 @@ def attention_timeline(words: DataFrame, matrix: DataFrame, step: float = 0.1) -
         "point",
         t.alias("time"),
         F.least(F.floor(t / F.col("_duration") * F.col("_n")), F.col("_n") - 1).alias("frame_index"),
+        "_n",
     )
     return (
-        placed.join(measures.drop("_rows"), ["clip", "frame_index"])
+        placed.join(frame_measures(matrix), ["clip", "frame_index"])
+        .withColumn("avg_incoming", F.col("incoming") / F.col("_n"))
         .withColumn("attention", F.col("max_outgoing") * (0.7 + 0.3 * F.col("attention_entropy")))
+        .drop("incoming", "_n")
     )
 
 
@@ -151,13 +153,11 @@ def timeline_stats(timeline: DataFrame, durations: DataFrame) -> DataFrame:
 
 def timeline_peaks(timeline: DataFrame) -> DataFrame:
     """Marks points above mean + population standard deviation of their clip."""
-    a = F.col("attention")
-    summed = with_group_stats(
-        timeline, ["clip"], "point", _n=("count", a), _s=("sum", a)
-    ).withColumn("_mean", F.col("_s") / F.col("_n"))
-    spread = with_group_stats(summed, ["clip"], "point", _q=("sum", (a - F.col("_mean")) * (a - F.col("_mean"))))
-    limit = F.col("_mean") + F.sqrt(F.col("_q") / F.col("_n"))
-    return spread.withColumn("is_peak", a > limit).drop("_n", "_s", "_mean", "_q")
+    stats = timeline.groupBy("clip").agg(
+        (F.avg("attention") + F.stddev_pop("attention")).alias("_limit"), F.min("point").alias("_p0"), F.max("point").alias("_p1")
+    )
+    marked = attach_by_block(timeline, stats, ["clip"], "point", "_p0", "_p1")
+    return marked.withColumn("is_peak", F.col("attention") > F.col("_limit")).drop("_limit")
 
 
 def attention_matrix(pairs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def pair_intensity(pairs: DataFrame) -> DataFrame:
     """Display intensity: 0.8 for a word with itself, otherwise the place in [min(0, …), max(1, …)], at least 0.1."""
     other = (F.col("from_index") != F.col("to_index")) & (F.col("attention_weight") > 0)
     w = F.when(other, F.col("attention_weight"))
-    ranged = with_group_stats(pairs, ["clip"], "from_index", _lo=("min", w), _hi=("max", w))
+    ranged = with_group_stats(pairs, ["clip"], "from_index", ROW_BITS, _lo=("min", w), _hi=("max", w))
     low = F.least(F.coalesce("_lo", F.lit(0.0)), F.lit(0.0))
     high = F.greatest(F.coalesce("_hi", F.lit(1.0)), F.lit(1.0))
     return ranged.withColumn(

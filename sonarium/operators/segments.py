@@ -46,9 +46,9 @@ def score_word_segments(frames: DataFrame, segments: DataFrame, durations: DataF
 def score_uniform_segments(frames: DataFrame, durations: DataFrame, pieces: int | None = None) -> DataFrame:
     """Equal time pieces: max(8, min(32, int(2·duration))) named ``segment_1`` …, or a given number without names."""
     sizes = clip_frames(frames, durations)
-    n = F.lit(pieces) if pieces else F.greatest(F.lit(8), F.least(F.lit(32), F.floor(F.col("_duration") * 2))).cast("int")
+    n = F.lit(pieces).cast("long") if pieces else F.greatest(F.lit(8), F.least(F.lit(32), F.floor(F.col("_duration") * 2)))
     k = F.col("seg")
-    split = sizes.withColumn("_m", n).withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).cast("long"))
+    split = sizes.withColumn("_m", n).withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
     named = split.withColumns(
         {
             "start": k / F.col("_m") * F.col("_duration"),

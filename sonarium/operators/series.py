@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonarium.functions.signal import hashed_noise
 from sonarium.operators.blocks import (
     BLOCK_BITS,
     attach_by_block,
@@ -15,6 +16,7 @@ from sonarium.operators.blocks import (
     order_stats,
     running_sums,
     with_group_stats,
+    with_previous,
 )
 from sonarium.session import settle
 
@@ -73,23 +75,13 @@ def silent_runs(series: DataFrame, rate: int, seconds: float = 1.0, floor: float
     return runs.filter(F.col("samples") >= seconds * rate).drop("_run")
 
 
-def noise(seed: int, *place: str) -> Column:
-    """Standard normal noise derived from a row's place, so that a retried task draws the same numbers."""
-
-    def uniform(salt: int) -> Column:
-        bits53 = F.shiftrightunsigned(F.xxhash64(*[F.col(p) for p in place], F.lit(seed), F.lit(salt)), 11)
-        return (bits53.cast("double") + 0.5) / float(1 << 53)
-
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-
-
 def dither_silence(series: DataFrame, rate: int, level: float = 1e-4, seed: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
     """Add faint noise to every sample of a clip that holds a long silent run and lasts a second or more."""
     runs = silent_runs(series, rate, bits=bits).select("clip").distinct().withColumn("_silent", F.lit(True))
     sized = series.groupBy("clip").agg(F.min("i").alias("_first"), F.max("i").alias("_last")).join(runs, "clip", "left")
     marked = attach_by_block(series, sized, CLIP, "i", "_first", "_last", bits)
     return marked.withColumn(
-        "x", F.when(F.col("_silent"), F.col("x") + level * noise(seed, "clip", "i")).otherwise(F.col("x"))
+        "x", F.when(F.col("_silent"), F.col("x") + level * hashed_noise(seed, F.col("clip"), F.col("i"))).otherwise(F.col("x"))
     ).drop("_silent")
 
 
@@ -225,3 +217,30 @@ def tumbling_chunks(series: DataFrame, rate: float, seconds: float = 30.0) -> Da
     return series.withColumns(
         {"chunk": chunk, "offset_s": chunk * size / F.lit(float(rate)), "time_s": F.col("i") / F.lit(float(rate))}
     )
+
+
+def frame_features(series: DataFrame, frame: int = 2048, hop: int = 512, bits: int = BLOCK_BITS) -> DataFrame:
+    """RMS and zero-crossing rate over overlapping frames, each as mean, population std, min and max per clip.
+
+    A sample is sent to the frame/hop frames it lies in and reduced there before the shuffle. A frame counts the sign
+    changes between its own samples. Frames are not centred; a clip shorter than one frame makes a single frame.
+    """
+    before = with_previous(series, CLIP, "i", "x", "_before", bits)
+    sized = with_group_stats(before, CLIP, "i", bits, _n=("count", F.lit(1)))
+    negative, was_negative = F.col("x") < -1e-10, F.col("_before") < -1e-10
+    crossing = (F.col("_before").isNotNull() & (negative != was_negative)).cast("int")
+    last_frame = F.greatest(F.lit(0), F.floor((F.col("_n") - frame) / hop))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - frame + 1) / hop))
+    last = F.least(F.floor(F.col("i") / hop), last_frame)
+    placed = sized.withColumn("_cross", crossing).withColumn(
+        "_f", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+    )
+    inner = F.when(F.col("i") > F.col("_f") * hop, F.col("_cross")).otherwise(0)
+    frames = placed.groupBy("clip", "_f").agg(
+        F.sqrt(F.sum(F.col("x") * F.col("x")) / frame).alias("rms"),
+        (F.sum(inner) / frame).alias("zero_crossing_rate"),
+    )
+    stats = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    return frames.groupBy("clip").agg(
+        *[f(c).alias(f"{c}_{n}") for c in ("rms", "zero_crossing_rate") for n, f in stats.items()]
+    )
