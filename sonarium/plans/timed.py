@@ -49,22 +49,22 @@ SHOWN = f'clip, seg, {sql_rnd("start")} AS start, {sql_rnd(chr(34) + "end" + chr
 
 
 def shown(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("clip", "seg", rnd("start").alias("start"), rnd("end").alias("end"), "word", *[rnd(c).alias(c) for c in extra])
+    return df.select("clip", "seg", rnd("start").alias("start"), rnd("end").alias("end"), "word", *[rnd(c, 9).alias(c) for c in extra])
 
 
-@query("segments_words", f"WITH {WORDS_SQL} SELECT {SHOWN}, {sql_rnd('saliency')} AS saliency FROM scored")
+@query("segments_words", f"WITH {WORDS_SQL} SELECT {SHOWN}, {sql_rnd('saliency', 9)} AS saliency FROM scored")
 def segments_words(spark: SparkSession, sf: str) -> DataFrame:
     s = settle(event_series(spark, sf))
     return shown(G.score_word_segments(s, timed_words(s), durations(s)), "saliency")
 
 
-@query("segments_uniform", f"WITH {UNIFORM_SQL} SELECT {SHOWN}, {sql_rnd('saliency')} AS saliency FROM scored")
+@query("segments_uniform", f"WITH {UNIFORM_SQL} SELECT {SHOWN}, {sql_rnd('saliency', 9)} AS saliency FROM scored")
 def segments_uniform(spark: SparkSession, sf: str) -> DataFrame:
     s = settle(event_series(spark, sf))
     return shown(G.score_uniform_segments(s, durations(s)), "saliency")
 
 
-@query("segments_fallback", f"WITH {BOTH_SQL} SELECT {SHOWN}, {sql_rnd('saliency')} AS saliency FROM scored")
+@query("segments_fallback", f"WITH {BOTH_SQL} SELECT {SHOWN}, {sql_rnd('saliency', 9)} AS saliency FROM scored")
 def segments_fallback(spark: SparkSession, sf: str) -> DataFrame:
     s = settle(event_series(spark, sf))
     return shown(G.score_segments(s, timed_words(s), durations(s)), "saliency")
