@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from sonarium.functions.fixed import PUNCTUATION
 
@@ -31,34 +32,36 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(kept, SPACES, " "))
 
 
-def char_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance in characters.
+# pairs with more cells than this in their edit matrix go to the bit-parallel helper unless they are nearly equal
+SHORT_CELLS = 250_000
+NEAR = 64
 
-    Near-equal texts are settled in a narrow diagonal band; only when the distance exceeds a band is the next wider one
-    tried, and at last the full matrix.
-    """
 
-    def widen(pair: Column) -> Column:
+def near_char_distance(a: Column, b: Column) -> Column:
+    """Edit distance in characters on the JVM for short or nearly equal texts, null for the others."""
+
+    def settle(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        bands = [F.nullif(F.levenshtein(x, y, t), F.lit(-1)) for t in (64, 1024, 16384)]
-        return F.when(x == y, 0).otherwise(F.coalesce(*bands, F.levenshtein(x, y)))
+        small = F.length(x).cast("long") * F.length(y) <= SHORT_CELLS
+        return (
+            F.when(x == y, 0)
+            .when(small, F.levenshtein(x, y))
+            .otherwise(F.nullif(F.levenshtein(x, y, NEAR), F.lit(-1)))
+        )
 
-    # the one-element transform computes both operands once for all bands
-    return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), widen)[0]
+    # the one-element transform computes both operands once
+    return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), settle)[0]
 
 
-# code points from here up to U+10FFFF stand for the distinct words of one pair
+# code points from here on stand for the distinct words of one short pair
 _FIRST_CODE = 0x10000
-_MAX_DISTINCT = 0x110000 - _FIRST_CODE
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance between two word lists, on the JVM.
+def near_word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two short word lists on the JVM, null for long ones.
 
-    Every distinct word of the pair becomes one character, so the built-in edit distance counts words. A pair may hold
-    1 048 576 distinct words; beyond that the query fails rather than return a wrong number.
+    Every distinct word of the pair becomes one character, so the built-in edit distance counts words.
     """
-    too_many = F.raise_error(F.lit("more than 1048576 distinct words in one pair")).cast("int")
 
     def encode(ws: Column, vocab: Column) -> Column:
         code = F.transform(
@@ -66,13 +69,49 @@ def word_distance(a: Column, b: Column) -> Column:
         )
         return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
-    def distance(vocab: Column) -> Column:
-        return F.when(F.size(vocab) > _MAX_DISTINCT, too_many).otherwise(
-            char_distance(encode(a, vocab), encode(b, vocab))
-        )
-
     # the one-element transform computes the vocabulary once per pair, not once per word
-    return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0]
+    short = F.transform(
+        F.array(F.array_distinct(F.concat(a, b))), lambda vocab: F.levenshtein(encode(a, vocab), encode(b, vocab))
+    )[0]
+    return F.when(a == b, 0).when((F.size(a) + F.size(b)) <= 1000, short)
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences, one matrix column per step as bits of one integer (Myers 1999, Hyyrö 2003)."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    shared, where = set(b), {}
+    for i, symbol in enumerate(a):
+        if symbol in shared:
+            where[symbol] = where.get(symbol, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, total = full, 0, len(a)
+    for symbol in b:
+        match = where.get(symbol, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right_up = down | (full & ~(diagonal | up))
+        right_down = diagonal & up
+        total += bool(right_up & last) - bool(right_down & last)
+        right_up = right_up << 1 | 1
+        up = full & (right_down << 1 | ~(diagonal | right_up))
+        down = full & right_up & diagonal
+    return total
+
+
+@F.pandas_udf(LongType())
+def far_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of the long, differing pairs; pairs settled on the JVM arrive as nulls."""
+    out = [
+        None if x is None or y is None else edit_distance(x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y))
+        for x, y in zip(a, b)
+    ]
+    return pd.Series(out, dtype="Int64")
 
 
 def error_rate(distance: Column, truth_length: Column, predicted_length: Column) -> Column:

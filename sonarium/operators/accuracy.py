@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.functions.text import (
-    char_distance,
     clean_text,
     count_words,
     error_rate,
+    far_distance,
+    near_char_distance,
+    near_word_distance,
     sequence_ratio,
-    word_distance,
     words,
 )
 
@@ -40,25 +41,34 @@ def with_cleaned(df: DataFrame, predicted: str, truth: str) -> DataFrame:
     ).withColumns({"_pw": words(F.col("_p")), "_tw": words(F.col("_t"))})
 
 
+def with_distance(df: DataFrame, a: str, b: str, out: str, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Edit distance of two columns: on the JVM where ``near`` settles it, in a bit-parallel Arrow helper for the rest.
+
+    The helper gets nulls for settled rows, so only long and differing pairs travel to Python.
+    """
+    near_done = df.withColumn("_near", near(F.col(a), F.col(b)).cast("long"))
+    open_pair = F.col("_near").isNull()
+    far = far_distance(F.when(open_pair, F.col(a)), F.when(open_pair, F.col(b)))
+    return near_done.withColumn(out, F.coalesce("_near", far).cast("int")).drop("_near")
+
+
 def transcript_accuracy(
     df: DataFrame, predicted: str = "predicted", truth: str = "truth", metrics: Sequence[str] = METRICS
 ) -> DataFrame:
     """Adds the asked metrics. Without truth every metric is null, the predicted count is of raw words, the truth count 0.
 
-    ``accuracy_percentage`` and ``character_similarity`` need a Python worker; leave them out to stay on the JVM.
+    ``accuracy_percentage`` and ``character_similarity`` send every text to a Python worker, the distances only long ones.
     """
-    distance = char_distance(F.col("_p"), F.col("_t"))
     forms = {
         "accuracy_percentage": lambda: sequence_ratio("_pw", "_tw") * 100,
         "word_error_rate": lambda: F.when(
             F.col("_t").isNotNull(),
-            error_rate(word_distance(F.col("_pw"), F.col("_tw")), F.size("_tw"), F.size("_pw")),
+            error_rate(F.col("_wd"), F.size("_tw"), F.size("_pw")),
         ),
         "character_error_rate": lambda: F.when(
             F.col("_t").isNotNull(),
             error_rate(F.col("levenshtein_distance"), F.length("_t"), F.length("_p")),
         ),
-        "levenshtein_distance": lambda: F.when(F.col("_t").isNotNull(), distance),
         "exact_match": lambda: (F.col("_p") == F.col("_t")).cast("double"),
         "character_similarity": lambda: sequence_ratio("_p", "_t") * 100,
         "word_count_predicted": lambda: F.when(F.col("_t").isNotNull(), F.size("_pw")).otherwise(
@@ -71,12 +81,13 @@ def transcript_accuracy(
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     scored = with_cleaned(df, predicted, truth)
-    needs_distance = bool(asked & {"levenshtein_distance", "character_error_rate"})
-    if needs_distance:
-        scored = scored.withColumn("levenshtein_distance", forms["levenshtein_distance"]())
+    if asked & {"levenshtein_distance", "character_error_rate"}:
+        scored = with_distance(scored, "_p", "_t", "levenshtein_distance", near_char_distance)
+    if "word_error_rate" in asked:
+        scored = with_distance(scored, "_pw", "_tw", "_wd", near_word_distance)
     rest = {m: forms[m]() for m in METRICS if m in asked and m != "levenshtein_distance"}
     scored = scored.withColumns(rest) if rest else scored
-    dropped = ["_p", "_t", "_pw", "_tw"] + ([] if "levenshtein_distance" in asked else ["levenshtein_distance"])
+    dropped = ["_p", "_t", "_pw", "_tw", "_wd"] + ([] if "levenshtein_distance" in asked else ["levenshtein_distance"])
     return scored.drop(*dropped)
 
 

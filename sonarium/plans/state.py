@@ -26,6 +26,7 @@ def as_commands(events: DataFrame) -> DataFrame:
         op.alias("op"),
         F.col("event_type").alias("key"),
         F.concat_ws("_", "event_type", F.col("event_id").cast("string")).alias("value"),
+        F.col("ts").cast("timestamp").alias("at"),
     )
 
 
@@ -128,7 +129,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "embeddings").schema
     files = A.read_drops(spark, sf, schema, glob="embeddings.parquet").select(
-        "vec_id", "embedding", F.timestamp_seconds(F.col("vec_id")).alias("arrived_at")
+        "vec_id", "embedding", F.timestamp_seconds(F.col("vec_id") + 1_700_000_000).alias("arrived_at")
     )
     out = shared_dir(spark, "scores")
     A.score_arrivals(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +67,9 @@ class DatasetTable:
 
     def delete_session(self, session_id: str) -> int:
         """Remove all datasets of a session; returns how many there were."""
-        names = self.spark.sql(f"SHOW PARTITIONS {self.table} {self._partition(session_id)}")
-        found = names.count()
-        if found:
-            self.spark.sql(f"ALTER TABLE {self.table} DROP {self._partition(session_id)}")
-        return found
+        shown = self.spark.sql(f"SHOW PARTITIONS {self.table} {self._partition(session_id)}").collect()
+        names = [unquote(r[0].split("/dataset=", 1)[1]) for r in shown]  # catalog entries, one per dataset
+        if names:
+            specs = ", ".join(self._partition(session_id, name) for name in names)
+            self.spark.sql(f"ALTER TABLE {self.table} DROP {specs}")
+        return len(names)

@@ -31,31 +31,32 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    epoch, position = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values("seq")  # one micro-batch of one session
-    cleared = (rows["op"] == "clear").to_numpy().cumsum()
-    rows["epoch"] = epoch + cleared
+    rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)  # one micro-batch of one session
+    held, position = state.get if state.exists else (int(rows["seq"].iloc[0]), 0)
+    # an epoch is named by the command that began it: the last clear, or the first command of a new session
+    rows["epoch"] = rows["seq"].where(rows["op"] == "clear").ffill().fillna(held).astype("int64")
     added = rows["op"] == "add"
-    rows["position"] = -1
-    within = added.groupby(rows["epoch"]).cumsum() - 1
-    rows.loc[added, "position"] = (within + (rows["epoch"] == epoch) * position)[added]
-    new_epoch = int(rows["epoch"].iloc[-1])
-    current = rows["position"][rows["epoch"] == new_epoch]
-    start = position if new_epoch == epoch else 0
-    state.update((new_epoch, max(start, int(current.max()) + 1)))
-    state.setTimeoutDuration(SESSION_TTL * 1000)
+    within = added.groupby(rows["epoch"]).cumsum() - 1 + (rows["epoch"] == held) * position
+    rows["position"] = within.where(added, -1)
+    last = int(rows["epoch"].iloc[-1])
+    waiting = int((added & (rows["epoch"] == last)).sum()) + (position if last == held else 0)
+    state.update((last, waiting))
+    expiry = int(rows["at"].max().timestamp() * 1000) + SESSION_TTL * 1000
+    state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
     rows["session_id"] = key[0]
     yield rows[[f.name for f in QUEUE_OUT.fields]]
 
 
-def queue_stream(commands: DataFrame) -> DataFrame:
-    """Numbered command stream ``(session_id, epoch, op, position, seq, key, value)``; each clear starts a new epoch.
+def queue_stream(commands: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Numbered command stream ``(session_id, epoch, op, position, seq, key, value)`` of commands with a time ``at``.
 
-    Limit the source's rows per trigger: one session's share of a micro-batch is folded in one task. A session that is not
-    touched for its lifetime loses its state.
+    Each clear starts a new epoch. Limit the source's rows per trigger: one session's share of a micro-batch is folded in
+    one task. A session loses its state once the watermark has passed its last touch by its lifetime.
     """
-    return commands.groupBy("session_id").applyInPandasWithState(
-        _fold, QUEUE_OUT, QUEUE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        commands.withWatermark("at", delay)
+        .groupBy("session_id")
+        .applyInPandasWithState(_fold, QUEUE_OUT, QUEUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
