@@ -46,6 +46,7 @@ def near_char_distance(a: Column, b: Column) -> Column:
         return (
             F.when(x == y, 0)
             .when(small, F.levenshtein(x, y))
+            .when(F.abs(F.length(x) - F.length(y)) > NEAR, F.lit(None).cast("int"))
             .otherwise(F.nullif(F.levenshtein(x, y, NEAR), F.lit(-1)))
         )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonarium.functions.rows import contains_any_case, human_size
 from sonarium.operators.blocks import match_keys, number_rows, running_sums
+from sonarium.session import settle
 
 
 def with_default_duration(metadata: DataFrame, clips: DataFrame, key: str) -> DataFrame:
@@ -46,7 +47,7 @@ def dedupe_filenames(files: DataFrame, dataset: Sequence[str], name: str, arriva
         .join(copied, keys, "left_semi")
     )
     # a taken suffix t with j taken ones before it pushes every copy from t - j on by one
-    pushes = (
+    pushes = settle(
         number_rows(taken, keys, "_no", "_before")
         .groupBy(*keys, (2 * (F.col("_no") - F.col("_before"))).alias("_ord"))
         .agg(F.count(F.lit(1)).alias("_w"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sonarium.functions.text import words
 from sonarium.operators.blocks import attach_by_block, number_rows, with_group_stats
 from sonarium.operators.catalog import top_per_group
+from sonarium.session import settle
 
 
 def clip_frames(frames: DataFrame, durations: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def segment_intensity(scored: DataFrame) -> DataFrame:
     The rank of such a clip is the number of larger values, from counts per distinct value, plus the number among equals.
     """
     size = F.abs("saliency")
-    ranged = with_group_stats(scored, ["clip"], "seg", _max=("max", size), _n=("count", F.lit(1)))
+    ranged = settle(with_group_stats(scored, ["clip"], "seg", _max=("max", size), _n=("count", F.lit(1))))
     loud = ranged.filter(F.col("_max") > 1e-9).withColumn("intensity", size / F.col("_max"))
     faint = ranged.filter(F.col("_max") <= 1e-9).withColumn("_size", size)
     larger = Window.partitionBy("clip").orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)

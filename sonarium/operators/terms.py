@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from sonarium.functions.fixed import STOP_WORDS, TOKEN_STRIP
 from sonarium.functions.text import count_words, words
@@ -27,10 +28,16 @@ def term_tokens(df: DataFrame, text: str = "text", file: str = "doc_id") -> Data
 
 
 def term_counts(tokens: DataFrame, file: str = "doc_id") -> DataFrame:
-    """(term, count, first seen place); combined on the map side, so a hot term costs one row per task."""
-    return tokens.groupBy("term").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(F.col(file), F.col("pos"))).alias("first_seen")
-    )
+    """(term, count, first seen place); combined on the map side, so a hot term costs one row per task.
+
+    With whole-number files the place is one number, which a hash aggregation can hold; a struct would have every task sort
+    its tokens first.
+    """
+    if tokens.schema[file].dataType in (IntegerType(), LongType()):
+        place = F.col(file).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")
+    else:
+        place = F.struct(F.col(file), F.col("pos"))
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first_seen"))
 
 
 def top_terms(counts: DataFrame, k: int = 10) -> DataFrame:
