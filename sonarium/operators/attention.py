@@ -113,11 +113,12 @@ def frame_measures(matrix: DataFrame) -> DataFrame:
 def attention_timeline(words: DataFrame, matrix: DataFrame, step: float = 0.1) -> DataFrame:
     """Attention along time: one row per step until the end of the last word, looked up by equality on its frame.
 
-    The steps are counted as whole numbers, so the grid is the same wherever a clip's rows are.
+    The steps are counted as whole numbers, so the grid is the same wherever a clip's rows are. A clip without a matrix has
+    attention 0 at frame 0.
     """
     ends = words.groupBy("clip").agg(F.max_by("end", "idx").alias("_duration"))
     sizes = matrix.groupBy("clip").agg((F.max("i") + 1).cast("long").alias("_n"))
-    grid = ends.join(sizes, "clip").filter(F.col("_duration") > 0).withColumn(
+    grid = ends.join(sizes, "clip", "left").filter(F.col("_duration") > 0).withColumn(
         "point", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_duration") / step) - 1))
     )
     t = F.col("point") * step
@@ -125,13 +126,17 @@ def attention_timeline(words: DataFrame, matrix: DataFrame, step: float = 0.1) -
         "clip",
         "point",
         t.alias("time"),
-        F.least(F.floor(t / F.col("_duration") * F.col("_n")), F.col("_n") - 1).alias("frame_index"),
+        F.when(F.col("_n").isNull(), 0)
+        .otherwise(F.least(F.floor(t / F.col("_duration") * F.col("_n")), F.col("_n") - 1))
+        .alias("frame_index"),
         "_n",
     )
     return (
-        placed.join(frame_measures(matrix), ["clip", "frame_index"])
+        placed.join(frame_measures(matrix), ["clip", "frame_index"], "left")
         .withColumn("avg_incoming", F.col("incoming") / F.col("_n"))
-        .withColumn("attention", F.col("max_outgoing") * (0.7 + 0.3 * F.col("attention_entropy")))
+        .withColumn(
+            "attention", F.coalesce(F.col("max_outgoing") * (0.7 + 0.3 * F.col("attention_entropy")), F.lit(0.0))
+        )
         .drop("incoming", "_n")
     )
 

@@ -159,6 +159,7 @@ def order_stats(
     picks: Mapping[str, Pick],
     idx: str | None = None,
     accuracy: int = 10_000,
+    **extra: Column,
 ) -> DataFrame:
     """Exact quantiles per group without sorting whole groups.
 
@@ -167,7 +168,8 @@ def order_stats(
     counts, about ``4/accuracy`` of the group. Kinds: ``linear`` interpolates at q*(n-1), ``floor_n`` takes
     sorted[floor(n*q)], ``floor_n1`` takes sorted[floor(q*(n-1))]. With ``idx`` the brackets reach the rows by block
     (and the result keeps ``_first``/``_last`` for a later :func:`attach_by_block`), otherwise (few groups) by a checked
-    broadcast; without keys by a scalar subquery.
+    broadcast; without keys by a scalar subquery. ``extra`` aggregates over the column ``value`` ride on the sketch's pass
+    (few-groups form only).
     """
     margin = 4.0 / accuracy
     names = list(picks)
@@ -187,7 +189,8 @@ def order_stats(
         sketch = data.groupBy(*keys).agg(*extent, *sketch_cols).withColumns({"_i0": F.col("_first"), "_i1": F.col("_last")})
         rows = attach_by_block(data, sketch, keys, idx, "_i0", "_i1")
     else:
-        rows = attach_small(data, data.groupBy(*keys).agg(*sketch_cols), keys)
+        sketch = data.withColumn(value, F.col("_v")).groupBy(*keys).agg(*sketch_cols, *[c.alias(n) for n, c in extra.items()])
+        rows = attach_small(data, sketch, keys)
     held_cols = ["_n", "_first", "_last"] if idx else ["_n"]
     inside = reduce(
         lambda x, y: x | y,
@@ -224,8 +227,11 @@ def order_stats(
         wanted += [at(low).alias(f"_lo_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_hi_{name}")]
         wanted.append(F.max(frac).alias(f"_f_{name}"))
     found = cum.groupBy(*keys).agg(*wanted) if keys else cum.agg(*wanted)
+    if extra:
+        found = found.join(sketch.select(*keys, *extra), list(keys))
     return found.select(
         *keys,
+        *extra,
         *(["_first", "_last"] if idx else []),
         *[
             (F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p)

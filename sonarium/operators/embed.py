@@ -52,12 +52,14 @@ def pca(df: DataFrame, file: str, vector: str, k: int = 3) -> DataFrame:
 
 def spatial_regions(points: DataFrame, x: str, y: str) -> DataFrame:
     """Name the region of each point by the ordinal quartiles of both axes, read as scalars by the projection."""
-    picks = {"q1": ("floor_n", 0.25), "q3": ("floor_n", 0.75)}
-    qx = order_stats(points, [], x, picks).agg(F.struct(F.max("q1").alias("q1"), F.max("q3").alias("q3")))
-    qy = order_stats(points, [], y, picks).agg(F.struct(F.max("q1").alias("q1"), F.max("q3").alias("q3")))
-    placed = points.withColumns({"_qx": qx.scalar(), "_qy": qy.scalar()})
+    axes = points.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(c).cast("double").alias("v")) for n, c in (("x", x), ("y", y))]))
+    )
+    found = order_stats(axes, ["axis"], "v", {"q1": ("floor_n", 0.25), "q3": ("floor_n", 0.75)})
+    of = [F.max(F.when(F.col("axis") == n, F.col(q))).alias(n + q[1]) for n in "xy" for q in ("q1", "q3")]
+    placed = points.withColumn("_q", found.agg(F.struct(*of)).scalar())
     px, py = F.col(x), F.col(y)
-    x1, x3, y1, y3 = F.col("_qx.q1"), F.col("_qx.q3"), F.col("_qy.q1"), F.col("_qy.q3")
+    x1, x3, y1, y3 = (F.col(f"_q.{n}") for n in ("x1", "x3", "y1", "y3"))
     region = (
         F.when((px > x3) & (py > y3), "region1")
         .when((px < x1) & (py > y3), "region2")
@@ -68,7 +70,7 @@ def spatial_regions(points: DataFrame, x: str, y: str) -> DataFrame:
         .when(py.between(y1, y3), "mid_horizontal")
         .otherwise("unknown")
     )
-    return placed.withColumn("region", region).drop("_qx", "_qy")
+    return placed.withColumn("region", region).drop("_q")
 
 
 def angle_to_plane(x: Column, y: Column, z: Column, plane: str) -> Column:

@@ -35,16 +35,19 @@ def melt(df: DataFrame, file: str, features: Sequence[str] | str) -> DataFrame:
 
 
 def feature_stats(long: DataFrame) -> DataFrame:
-    """count, mean, population std, min, max and exact median per feature."""
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """count, mean, population std, min, max and exact median per feature, in two passes over the rows."""
+    v = F.col("value")
+    return order_stats(
+        long,
+        ["feature"],
+        "value",
+        {"median": ("linear", 0.5)},
+        n=F.count(v),
+        mean=F.avg(v),
+        std=F.stddev_pop(v),
+        min=F.min(v),
+        max=F.max(v),
     )
-    median = order_stats(long, ["feature"], "value", {"median": ("linear", 0.5)})
-    return moments.join(median, "feature")
 
 
 def histogram(long: DataFrame, bins: int = 10) -> DataFrame:

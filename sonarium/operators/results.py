@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DoubleType
 
 from sonarium.functions.fixed import LONG_TTL, SHORT_TTL, TTL_BY_KIND
 from sonarium.functions.rows import literal_map
@@ -57,12 +58,42 @@ def usable_results(results: DataFrame, column: str, wanted: bool) -> DataFrame:
     return results.filter(F.col(column).isNotNull()) if wanted else results
 
 
+def _forgiving(make: Callable) -> Callable:
+    """A batch function that gives NaN for the rows the model fails on; a failing batch is tried again row by row."""
+
+    def build() -> Callable:
+        predict = make()
+
+        def safe(*inputs: np.ndarray) -> np.ndarray:
+            try:
+                return predict(*inputs)
+            except Exception:
+                scores = []
+                for k in range(len(inputs[0])):
+                    try:
+                        scores.append(float(predict(*[x[k : k + 1] for x in inputs])[0]))
+                    except Exception:
+                        scores.append(float("nan"))
+                return np.array(scores)
+
+        return safe
+
+    return build
+
+
 def score(df: DataFrame, model: str | Callable, features: Sequence[str], out: str, out_type: DataType, batch: int = 1024,
           input_shapes: list | None = None) -> DataFrame:
-    """Score rows in Arrow batches; the model is loaded once per Python worker."""
+    """Score rows in Arrow batches; the model is loaded once per Python worker.
+
+    With a double result a row the model fails on gets null and the rest go on.
+    """
     make = MODELS[model] if isinstance(model, str) else model
-    predict = predict_batch_udf(make, return_type=out_type, batch_size=batch, input_tensor_shapes=input_shapes)
-    return df.withColumn(out, predict(*[F.col(f) for f in features]))
+    single = isinstance(out_type, DoubleType)
+    predict = predict_batch_udf(
+        _forgiving(make) if single else make, return_type=out_type, batch_size=batch, input_tensor_shapes=input_shapes
+    )
+    scored = df.withColumn(out, predict(*[F.col(f) for f in features]))
+    return scored.withColumn(out, F.when(~F.isnan(out), F.col(out))) if single else scored
 
 
 def score_missing(

@@ -220,10 +220,10 @@ TIMELINE_SQL = f"""{CELLS_SQL}, rs AS (SELECT clip, i, max(w) AS mo, sum(w) AS s
 en AS (SELECT clip, i, -sum(w / s * ln(w / s + 1e-10)) AS ent FROM m JOIN rs USING (clip, i) WHERE s > 0 GROUP BY clip, i),
 cs AS (SELECT clip, j AS i, sum(w) / 4 AS inc FROM m GROUP BY clip, j),
 dur AS (SELECT clip, arg_max("end", idx) AS d FROM words GROUP BY clip),
-grid AS (SELECT clip, d, unnest(range(CAST(ceil(d / 0.1::DOUBLE) AS BIGINT))) AS point FROM dur WHERE clip IN (SELECT clip FROM m)),
+grid AS (SELECT clip, d, unnest(range(CAST(ceil(d / 0.1::DOUBLE) AS BIGINT))) AS point FROM dur),
 tl AS (SELECT g.clip, point, point * 0.1::DOUBLE AS time, CAST(least(floor(point * 0.1::DOUBLE / d * 4), 3) AS BIGINT) AS frame_index FROM grid g),
-tm AS (SELECT t.*, mo AS max_outgoing, inc AS avg_incoming, self AS self_attention, coalesce(ent / ln(len), 0) AS attention_entropy, mo * (0.7 + 0.3 * coalesce(ent / ln(len), 0)) AS attention
-  FROM tl t JOIN rs ON rs.clip = t.clip AND rs.i = frame_index LEFT JOIN en ON en.clip = t.clip AND en.i = frame_index LEFT JOIN cs ON cs.clip = t.clip AND cs.i = frame_index)"""
+tm AS (SELECT t.*, mo AS max_outgoing, inc AS avg_incoming, self AS self_attention, coalesce(ent / ln(len), 0) AS attention_entropy, coalesce(mo * (0.7 + 0.3 * coalesce(ent / ln(len), 0)), 0) AS attention
+  FROM tl t LEFT JOIN rs ON rs.clip = t.clip AND rs.i = frame_index LEFT JOIN en ON en.clip = t.clip AND en.i = frame_index LEFT JOIN cs ON cs.clip = t.clip AND cs.i = frame_index)"""
 MEASURES = ("time", "max_outgoing", "avg_incoming", "self_attention", "attention_entropy", "attention")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from sonarium.functions.fixed import MEDIA_TYPES
 from sonarium.functions.rows import extension, file_name, media_type
@@ -60,6 +61,44 @@ def wav_info(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=INFO_TYPE.names)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def wav_samples(content: pd.Series) -> pd.Series:
+    """Samples of the first channel of 8, 16 or 32 bit WAV data in [-1, 1]; null for a file that cannot be read."""
+    kinds = {1: ("u1", 128.0, 128.0), 2: ("<i2", 0.0, 32768.0), 4: ("<i4", 0.0, 2147483648.0)}
+    out = []
+    for data in content:
+        try:
+            with wave.open(io.BytesIO(data)) as w:
+                kind, centre, scale = kinds[w.getsampwidth()]
+                raw = np.frombuffer(w.readframes(w.getnframes()), dtype=kind)[:: w.getnchannels()]
+                out.append((raw.astype("float64") - centre) / scale)
+        except Exception:
+            out.append(None)
+    return pd.Series(out)
+
+
+@F.pandas_udf(BinaryType())
+def encode_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """One waveform in [-1, 1] as 16-bit mono WAV data, to be stored by any Spark sink."""
+    out = []
+    for x, r in zip(samples, rate):
+        if x is None:
+            out.append(None)
+            continue
+        buffer = io.BytesIO()
+        with wave.open(buffer, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(int(r))
+            w.writeframes(np.clip(np.round(np.asarray(x) * 32767), -32768, 32767).astype("<i2").tobytes())
+        out.append(buffer.getvalue())
+    return pd.Series(out)
+
+
+def read_waves(files: DataFrame) -> DataFrame:
+    """One row per readable file of :func:`audio_files`: path, samples of the first channel, sample rate."""
+    read = files.select("path", wav_samples("content").alias("wave"), wav_info("content").alias("_i"))
+    return read.filter(F.col("wave").isNotNull()).select("path", "wave", F.col("_i.sample_rate").alias("rate"))
+
+
 def clip_info(files: DataFrame) -> DataFrame:
     """Size, duration, sample rate and channels of each file of :func:`audio_files`."""
     return files.select("path", F.col("length").alias("size"), wav_info("content").alias("_i")).select("path", "size", "_i.*")

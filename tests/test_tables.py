@@ -5,15 +5,16 @@ import wave
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sonarium.operators import queue as Q
-from sonarium.sources.audio import audio_files, clip_info, list_clips
+from sonarium.sources.audio import audio_files, clip_info, encode_wav, list_clips, read_waves
 from sonarium.sources.datasets import DatasetTable
 from sonarium.sources.metadata import read_metadata
 from sonarium.sources.results import ResultLog
 from sonarium.streaming import sessions as S
 from sonarium.streaming.arrivals import latest_result_stream, read_drops
-from sonarium.operators.results import latest_results
+from sonarium.operators.results import latest_results, score
 
 
 def test_read_metadata(spark, tmp_path):
@@ -37,6 +38,30 @@ def test_audio_files(spark, tmp_path):
     assert info == {"tone.WAV": (1.5, 8000, 2), "broken.mp3": (0.0, 0, 0)}
 
 
+def test_wave_round_trip(spark, tmp_path):
+    x = np.sin(np.arange(400) / 9) * 0.7
+    df = spark.createDataFrame([(x.tolist(), 8000)], "wave array<double>, rate int")
+    (tmp_path / "x.wav").write_bytes(df.select(encode_wav("wave", "rate").alias("c")).first()["c"])
+    (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    rows = read_waves(audio_files(spark, str(tmp_path))).collect()
+    assert len(rows) == 1 and rows[0]["rate"] == 8000
+    np.testing.assert_allclose(rows[0]["wave"], x, atol=1e-4)
+
+
+def test_failing_rows_get_null(spark):
+    def make():
+        def predict(v):
+            if (v < 0).any():
+                raise ValueError("negative")
+            return v.sum(axis=1)
+
+        return predict
+
+    df = spark.createDataFrame([(k, [float(k), -1.0 if k == 2 else 1.0]) for k in range(4)], "id long, v array<double>")
+    scored = score(df, make, ["v"], "s", DoubleType(), input_shapes=[[2]])
+    assert {r["id"]: r["s"] for r in scored.collect()} == {0: 1.0, 1: 2.0, 2: None, 3: 4.0}
+
+
 def test_dataset_table(spark):
     t = DatasetTable(spark, "datasets_under_test")
 
