@@ -138,6 +138,8 @@ def with_previous(
 
 Pick = tuple[str, float]
 
+_CELLS = 4096
+
 
 def _ranks(kind: str, q: float, n: Column) -> tuple[Column, Column]:
     """Zero-based lower rank and interpolation fraction of a pick."""
@@ -164,8 +166,8 @@ def order_stats(
     """Exact quantiles per group without sorting whole groups.
 
     A mergeable sketch brackets each wanted rank between two values. Rows outside the brackets collapse to one count per
-    gap, rows inside to one count per distinct value, both before the shuffle; the exact ranks are then read from those
-    counts, about ``4/accuracy`` of the group. Kinds: ``linear`` interpolates at q*(n-1), ``floor_n`` takes
+    gap, rows inside to one count per distinct value, both before the shuffle. Counts per cell of the bracket then name the
+    cell that holds each rank, and only that cell's values are ordered. Kinds: ``linear`` interpolates at q*(n-1), ``floor_n`` takes
     sorted[floor(n*q)], ``floor_n1`` takes sorted[floor(q*(n-1))]. With ``idx`` the brackets reach the rows by block
     (and the result keeps ``_first``/``_last`` for a later :func:`attach_by_block`), otherwise (few groups) by a checked
     broadcast; without keys by a scalar subquery. ``extra`` aggregates over the column ``value`` ride on the sketch's pass
@@ -192,14 +194,20 @@ def order_stats(
         sketch = data.withColumn(value, F.col("_v")).groupBy(*keys).agg(*sketch_cols, *[c.alias(n) for n, c in extra.items()])
         rows = attach_small(data, sketch, keys)
     held_cols = ["_n", "_first", "_last"] if idx else ["_n"]
-    inside = reduce(
-        lambda x, y: x | y,
-        [F.col("_v").between(F.col("_a")[j], F.col("_b")[j]) for j in range(len(names))],
-    )
-    gap = reduce(lambda x, y: x + y, [(F.col("_b")[j] < F.col("_v")).cast("int") for j in range(len(names))])
+    v = F.col("_v")
+    between = [v.between(F.col("_a")[j], F.col("_b")[j]) for j in range(len(names))]
+    inside = reduce(lambda x, y: x | y, between)
+    gap = reduce(lambda x, y: x + y, [(F.col("_b")[j] < v).cast("int") for j in range(len(names))])
+    # a bracket is cut into cells by value, so that ranks are resolved inside one cell and not inside the whole bracket
+    cell = F.lit(None).cast("long")
+    for j in reversed(range(len(names))):
+        low, width = F.col("_a")[j], F.col("_b")[j] - F.col("_a")[j]
+        part = F.when(width > 0, F.floor((v - low) / width * _CELLS)).otherwise(0)
+        cell = F.when(between[j], part + (2 * j + 1) * 2 * _CELLS).otherwise(cell)
+    cell = F.coalesce(cell, (gap * 4 * _CELLS).cast("long"))
     counts = (
-        rows.select(*keys, *held_cols, "_v", F.when(inside, F.col("_v")).alias("_d"), F.when(~inside, gap).alias("_gap"))
-        .groupBy(*keys, "_d", "_gap")
+        rows.select(*keys, *held_cols, "_v", F.when(inside, v).alias("_d"), cell.alias("_cell"))
+        .groupBy(*keys, "_cell", "_d")
         .agg(
             F.count(F.lit(1)).alias("_c"),
             F.min("_v").alias("_min"),
@@ -207,8 +215,29 @@ def order_stats(
             *[F.max(c).alias(c) for c in held_cols],
         )
     )
-    order = Window.partitionBy(*keys).orderBy("_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranks = {}
+    for name in names:
+        low, frac = _ranks(*picks[name], F.col("_n"))
+        ranks[name] = (low, F.least(low + 1, F.col("_n") - 1), frac)
+    by_cell = Window.partitionBy(*keys).orderBy("_low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = (
+        counts.groupBy(*keys, "_cell")
+        .agg(F.sum("_c").alias("_cc"), F.min("_min").alias("_low"), F.max("_n").alias("_n"))
+        .withColumn("_stop", F.sum("_cc").over(by_cell))
+        .withColumn("_base", F.col("_stop") - F.col("_cc"))
+    )
+    wanted_here = [
+        (F.col("_base") <= r) & (r < F.col("_stop")) for low, high, _ in ranks.values() for r in (low, high)
+    ]
+    chosen = cells.filter(reduce(lambda x, y: x | y, wanted_here)).select(*keys, "_cell", "_base")
+    order = (
+        Window.partitionBy(*keys, "_cell").orderBy("_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    cum = (
+        match_keys(counts, chosen, [*keys, "_cell"])
+        .withColumn("_end", F.col("_base") + F.sum("_c").over(order))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+    )
 
     def at(rank: Column) -> Column:
         held = (F.col("_start") <= rank) & (rank < F.col("_end"))
@@ -222,9 +251,8 @@ def order_stats(
 
     wanted = [F.min("_first").alias("_first"), F.max("_last").alias("_last")] if idx else []
     for name in names:
-        kind, q = picks[name]
-        low, frac = _ranks(kind, q, F.col("_n"))
-        wanted += [at(low).alias(f"_lo_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_hi_{name}")]
+        low, high, frac = ranks[name]
+        wanted += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}")]
         wanted.append(F.max(frac).alias(f"_f_{name}"))
     found = cum.groupBy(*keys).agg(*wanted) if keys else cum.agg(*wanted)
     if extra:

@@ -210,6 +210,12 @@ def saliency_series(series: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     return minmax(clip_percentile(smooth, 0.95, bits), "series", bits)
 
 
+def display_series(series: DataFrame, strength: float = 0.5, percent: float = 95.0, bits: int = BLOCK_BITS) -> DataFrame:
+    """The viewer's own curve: trailing mean, cap at a percentile rank, scale to [0, 1]."""
+    smooth = settle(smooth_trailing(series, strength, bits))  # read five times below
+    return minmax(clip_display(smooth, percent, bits), "display", bits)
+
+
 def tumbling_chunks(series: DataFrame, rate: float, seconds: float = 30.0) -> DataFrame:
     """Number of the chunk a sample falls in, its time offset, and the time inside the clip."""
     size = int(seconds * rate)

@@ -183,6 +183,19 @@ def series_saliency(spark: SparkSession, sf: str) -> DataFrame:
     return S.saliency_series(event_series(spark, sf)).withColumn("x", rnd("x"))
 
 
+@query(
+    "series_display",
+    f"""WITH {SERIES_SQL}, w AS (SELECT *, CAST(greatest(1, floor(n / 100 * (0.1 + 0.9 * 0.5))) AS BIGINT) AS w FROM n),
+    t AS (SELECT clip, i, avg(x) OVER (PARTITION BY clip ORDER BY i ROWS BETWEEN (w - 1) PRECEDING AND CURRENT ROW) AS x FROM w),
+    p AS (SELECT clip, list_sort(list(x))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p FROM t GROUP BY clip),
+    c AS (SELECT clip, i, least(x, CASE WHEN p = 0 THEN 1.0 ELSE p END) AS x FROM t JOIN p USING (clip)),
+    r AS (SELECT *, min(x) OVER (PARTITION BY clip) AS lo, max(x) OVER (PARTITION BY clip) AS hi FROM c)
+    SELECT clip, i, {sql_rnd('(x - lo) / greatest(1e-9, hi - lo)')} AS x FROM r""",
+)
+def series_display(spark: SparkSession, sf: str) -> DataFrame:
+    return S.display_series(event_series(spark, sf)).withColumn("x", rnd("x"))
+
+
 @query(
     "series_chunks",
     f"WITH {SERIES_SQL} SELECT clip, i // 300 AS chunk, CAST((i // 300) * 30 AS DOUBLE) AS offset_s, count(*) AS samples, {sql_rnd('max(i / 10.0)')} AS last_s FROM s GROUP BY ALL",

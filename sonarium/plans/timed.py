@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarium.operators import attention as A
 from sonarium.operators import segments as G
+from sonarium.operators.series import minmax
 from sonarium.plans.registry import query, rnd, spread, sql_rnd, table
 from sonarium.plans.signal import SERIES_SQL, event_series
 from sonarium.session import settle
@@ -259,6 +260,16 @@ def attention_timeline_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return A.timeline_peaks(timeline(spark, sf)).select("clip", "point", "is_peak")
 
 
+@query(
+    "attention_timeline_curve",
+    f"""WITH {TIMELINE_SQL}, k AS (SELECT clip, point, attention AS a, min(attention) OVER (PARTITION BY clip) AS lo, max(attention) OVER (PARTITION BY clip) AS hi FROM tm)
+    SELECT clip, point, {sql_rnd('(a - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END')} AS height FROM k""",
+)
+def attention_timeline_curve(spark: SparkSession, sf: str) -> DataFrame:
+    line = timeline(spark, sf).select("clip", F.col("point").alias("i"), F.col("attention").alias("x"))
+    return minmax(line, "timeline").select("clip", F.col("i").alias("point"), rnd("x").alias("height"))
+
+
 @query(
     "attention_matrix",
     f"""WITH {CELLS_SQL}, kept AS (SELECT * FROM pairs WHERE from_index <= to_index), b AS (SELECT clip, max(greatest(from_index, to_index)) AS mx FROM kept GROUP BY clip)
