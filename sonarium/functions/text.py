@@ -91,17 +91,17 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     for i, symbol in enumerate(a):
         if symbol in shared:
             where[symbol] = where.get(symbol, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    full, top = (1 << len(a)) - 1, len(a) - 1
     up, down, total = full, 0, len(a)
     for symbol in b:
         match = where.get(symbol, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        right_up = down | (full & ~(diagonal | up))
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right_up = down | (full ^ (diagonal | up))
         right_down = diagonal & up
-        total += bool(right_up & last) - bool(right_down & last)
-        right_up = right_up << 1 | 1
-        up = full & (right_down << 1 | ~(diagonal | right_up))
-        down = full & right_up & diagonal
+        total += (right_up >> top) - (right_down >> top)
+        right_up = (right_up << 1 | 1) & full
+        up = (right_down << 1 | (full ^ (diagonal | right_up))) & full
+        down = right_up & diagonal
     return total
 
 
