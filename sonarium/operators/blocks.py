@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarium.session import settle
+
 BLOCK_BITS = 16
 BROADCAST_ROWS = 100_000
 
@@ -25,14 +27,15 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def attach_small(
-    df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 64
+    df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 64,
+    settled: bool = False,
 ) -> DataFrame:
     """Join a per-key summary to its rows without shuffling the rows when the summary is proven small.
 
-    The summary is counted first. Up to ``max_rows`` it is broadcast. Beyond that the rows get a salt from their own
+    The summary is computed once (pass ``settled`` if it already is) and counted first. Up to ``max_rows`` it is broadcast. Beyond that the rows get a salt from their own
     content and the summary is repeated once per salt, so that a hot key is spread over ``salts`` tasks.
     """
-    side = side.persist()
+    side = side if settled else settle(side)
     if side.count() <= max_rows:
         return df.join(F.broadcast(side), list(keys), how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
@@ -191,8 +194,9 @@ def order_stats(
         sketch = data.groupBy(*keys).agg(*extent, *sketch_cols).withColumns({"_i0": F.col("_first"), "_i1": F.col("_last")})
         rows = attach_by_block(data, sketch, keys, idx, "_i0", "_i1")
     else:
-        sketch = data.withColumn(value, F.col("_v")).groupBy(*keys).agg(*sketch_cols, *[c.alias(n) for n, c in extra.items()])
-        rows = attach_small(data, sketch, keys)
+        extras = [c.alias(n) for n, c in extra.items()]
+        sketch = settle(data.withColumn(value, F.col("_v")).groupBy(*keys).agg(*sketch_cols, *extras))
+        rows = attach_small(data, sketch, keys, settled=True)
     held_cols = ["_n", "_first", "_last"] if idx else ["_n"]
     v = F.col("_v")
     between = [v.between(F.col("_a")[j], F.col("_b")[j]) for j in range(len(names))]

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from sonarium.functions.rows import category_list
 from sonarium.operators.blocks import attach_small, order_stats
+from sonarium.session import settle
 
 
 def flatten_features(df: DataFrame, column: str) -> DataFrame:
@@ -57,13 +58,13 @@ def histogram(long: DataFrame, bins: int = 10) -> DataFrame:
     """
     ranges = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
-    ranges = ranges.select(
+    ranges = settle(ranges.select(
         "feature",
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
-    )
+    ))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    placed = attach_small(long, ranges, ["feature"]).select(
+    placed = attach_small(long, ranges, ["feature"], settled=True).select(
         "feature", F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")
     )
     counts = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
