@@ -117,37 +117,40 @@ def verify(pairs: DataFrame, bodies: DataFrame, percent: int, per_part: int = 40
 def _rest(members: DataFrame, labels: DataFrame, bodies: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs that the centres left open: in a common table, in different components, never compared.
 
-    Two sets that overlap enough share one of the rarest shingles of each (its prefix in the order of frequency), so only
-    sets with a common prefix shingle are paired; nothing that could be a link is left out.
+    Two sets that overlap enough share one of the rarest shingles of each (its prefix in the order of frequency), and behind the
+    first one they share, enough of both sets is left. Only pairs that meet both conditions are listed; no link is left out.
     """
     held = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     held = written(held.select("key", "node", "label", "n"), "labelled-members")
     mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    still = held.join(mixed.filter(F.col("low") != F.col("high")), "key", "left_semi")
-    still = written(still.select("node", "label", "n").distinct(), "open-nodes")
-    terms = bodies.join(still, "node").select("node", "label", "n", F.explode("shingles").alias("term"))
+    still = held.join(mixed.filter(F.col("low") != F.col("high")), "key", "left_semi").select("node", "label", "n").distinct()
+    still = written(still.withColumn("id", F.monotonically_increasing_id()), "open-nodes")
+    terms = bodies.join(still, "node").select("id", F.explode("shingles").alias("term"))
     common = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    spread = terms.join(common, "term").groupBy("node", "label", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms")
-    )
+    spread = terms.join(common, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))
     need = F.floor((percent * F.col("n") + 99) / 100)
     alone = F.col("n") - F.size("terms")
     take = (F.col("n") - need + 1 - alone).cast("int")
     prefix = written(
-        spread.filter(take > 0).select("node", "label", "n", F.explode(F.slice("terms", F.lit(1), take)).alias("t"))
-        .select("node", "label", "n", F.col("t.term").alias("term")),
+        spread.join(still, "id").filter(take > 0)
+        .select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("terms", F.lit(1), take)).alias("k", "t"))
+        .select("node", "label", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left"), F.col("t.term").alias("term")),
         "prefixes",
     )
-    left = prefix.select("term", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n")])
-    right = prefix.select("term", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n")])
-    pairs = left.join(right, "term").filter(
-        (F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit(percent)
+    names = ("node", "label", "n", "left")
+    one, two = (prefix.select("term", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    pairs = one.join(two, "term").filter(
+        (F.col("node_a") > F.col("node_b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & _sizes_fit(percent)
+        & (F.least("left_a", "left_b") >= overlap)
     )
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: float = 1e-6) -> DataFrame:
-    """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
+def components_of(docs: DataFrame, percent: int = 80, width: int = 5, miss: float = 1e-6) -> DataFrame:
+    """Per row of ``docs (doc_id, text)``: ``doc_id, text_hash, n_shingles, component_id, kept, stands``.
 
     Texts are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of ``width``-word shingles. A component's
     id is its smallest ``doc_id``; that document is kept.
@@ -159,7 +162,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: fl
 
     Null or empty text, or text without words: no shingles, linked with nothing, kept. Fewer words than ``width``: the whole
     sequence is the only shingle. Rows without ``doc_id`` link like others but do not name a component unless it has no id
-    at all (then null); they are kept only there. Repeated rows share their component and ``kept``. Extra columns are ignored.
+    at all (then null); they are kept only there. Repeated rows share their component and ``kept``. ``stands`` marks the one text of
+    each component, among those of the smallest id, that stands for it. Extra columns are ignored.
     """
     tables = root_tables(percent, miss)
     data = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
@@ -202,9 +206,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: fl
     wanted = members.select("node").distinct()
     source = data.withColumn("node", _node(F.col("doc_id"), F.col("text_hash"))).select("node", "text")
     bodies = written(
-        source.join(wanted, "node", "left_semi").mapInArrow(
+        source.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
             _sets(width), T.StructType([T.StructField("node", NODE), T.StructField("shingles", T.ArrayType(T.LongType()))])
-        ).dropDuplicates(["node"]),
+        ),
         "bodies",
     )
     links = written(verify(stars, bodies, percent), "links")
@@ -214,15 +218,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: fl
     more = written(verify(rest, bodies, percent), "more-links")
     labels = components(links.unionByName(more)) if more.head(1) else first
 
-    side = written(
-        nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").getField("d").alias("component"), "_rows"),
-        "component-ids",
-    )
-    out = attach(facts.select("doc_id", "n", "set_id"), side, ["set_id"])
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("component", F.lit(NO_ID)))
+    label = F.coalesce("label", "node")
+    side = written(nodes.join(labels, "node", "left").select("set_id", label.alias("label"), "_rows"), "component-ids")
+    out = attach(facts.select("doc_id", "text_hash", "n", "set_id"), side, ["set_id"])
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("label.d"), F.lit(NO_ID)))
     return out.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        ((F.col("n") == 0) | (F.col("label") == _node(F.col("doc_id"), F.col("text_hash")))).alias("stands"),
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: float = 1e-6) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of :func:`components_of`."""
+    return components_of(docs, percent, width, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, miss: float = 1e-6) -> DataFrame:
+    """One document of each component, with all columns; texts without words stay. Rows that repeat id and text are one."""
+    text = F.coalesce("text", F.lit(""))
+    keep = components_of(docs, percent, width, miss).filter("stands").select(_node(F.col("doc_id"), F.col("text_hash")).alias("node"))
+    keep = written(keep.distinct(), "standing")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _node(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"))
+    return rows.join(keep, "node", "left_semi").dropDuplicates(["node"]).select("row.*")
