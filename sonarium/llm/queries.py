@@ -4,27 +4,95 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import sonarium.llm.jpeg
+import sonarium.llm.media
 import sonarium.llm.near_dups
+import sonarium.llm.packing
+import sonarium.llm.warc
 import sonarium.llm.words
+from sonarium.llm.chat import chat_digests, format_chats, read_chats
 from sonarium.llm.common import table
+from sonarium.llm.media import text_media
+from sonarium.llm.mixing import mixed_documents
 from sonarium.llm.near_dups import near_duplicates
+from sonarium.llm.packing import pack_documents
+from sonarium.llm.quality import judge
+from sonarium.llm.secrets import scan_secrets
+from sonarium.llm.shards import shard_documents
+from sonarium.llm.url_filter import filter_urls
+from sonarium.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Python workers may start without this folder on their path: ship the Arrow functions by value.
-for _module in (sonarium.llm.near_dups, sonarium.llm.words):
+for _module in (
+    sonarium.llm.jpeg,
+    sonarium.llm.media,
+    sonarium.llm.near_dups,
+    sonarium.llm.packing,
+    sonarium.llm.warc,
+    sonarium.llm.words,
+):
     cloudpickle.register_pickle_by_value(_module)
 
+#: The tokenizer file, which every machine has.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+#: A conversation whose texts look like another template's markers.
+ODD_CHAT = "SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)"
+
+
+def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(read_chats(format_chats(turns.unionByName(spark.sql(ODD_CHAT)))))
+
+
 QUERIES: dict[str, Query] = {
-    "op3_near_duplicates": op3_near_duplicates,
-}
+    q.__name__: q
+    for q in (
+        op1_media_jpeg, op2_warc_zstd, op3_near_duplicates, op4_mix_sources, op5_shards, op6_url_filter, op7_quality_rules,
+        op8_pack_documents, op9_secret_scan, op10_format_chats,
+    )
+}
 
 ORACLES: dict[str, str] = {}
