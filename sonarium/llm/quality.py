@@ -15,7 +15,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 
 #: Smallest standard deviation used for each transformed statistic: steps below it are no sign of a bad text.
-FLOORS = {"z_words": 0.5, "z_length": 0.1, "z_symbols": 0.1, "z_lines": 0.15, "z_repeats": 0.15, "z_upper": 0.1, "z_kinds": 0.05}
+FLOORS = {"z_words": 0.5, "z_length": 0.1, "z_symbols": 0.05, "z_lines": 0.15, "z_repeats": 0.15, "z_upper": 0.05, "z_kinds": 0.05}
 FEATURES = tuple(FLOORS)
 
 
@@ -162,7 +162,7 @@ def _groups(rows: DataFrame, least: int) -> DataFrame:
 
 
 def reject_outliers(
-    docs: DataFrame, half: float = 0.75, steps: int = 4, cut: float = 7.0, least: int = 100, accuracy: int = 10_000
+    docs: DataFrame, half: float = 0.75, steps: int = 4, cut: float = 4.5, least: int = 100, accuracy: int = 10_000
 ) -> DataFrame:
     """``docs`` (with ``lang``, ``source`` and the statistics ``_q``) with the squared distance ``_d2`` and ``_inlier``.
 
