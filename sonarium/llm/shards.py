@@ -9,58 +9,56 @@ from sonarium.llm.common import attach, bucket_bits, running, written
 
 SHARDS = 16
 ROUNDS = 4
-CHUNKS = 8
-
-
-def _ahead(hubs: DataFrame, group: str, order: str, ties: list[str], weight: str, out: str, total: int) -> DataFrame:
-    return running(hubs, group, order, ties, F.col(weight), out, bucket_bits(total))
+CHUNKS = 2
 
 
 def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``hub, shard, n``: how many members of each hub belong in each shard.
 
-    ``links`` has ``(hub, shard, n)``: a hub joins documents that should meet, ``n`` of its members start in ``shard``. In each
-    round the members of a hub look at their neighbours: the label of the shard that holds most of them (ties by a hash, so that
-    no shard is preferred) spreads to the others, as far as the shard's quota goes. Hubs are admitted in a hashed order while
-    their running demand fits what ``capacity`` leaves; a hub that is refused looks at the shards with room in the next round.
-    Members move in counts per hub and shard, so a hub of any size is at most one row for each shard.
+    ``links`` has ``(hub, shard, n)``: a hub joins documents that should meet, ``n`` of its members carry the label ``shard``. In
+    each round the members of a hub look at their neighbours: the label that most of them carry, among the shards with room for
+    all (ties by a hash, so that no shard is preferred), spreads to the others, as far as the shard's quota goes. Hubs are admitted
+    the larger first, then in a hashed order, while their running demand fits what ``capacity`` leaves; a hub that is refused looks
+    again in the next round. What is refused to the end keeps its first labels. Members move in counts per hub and shard, so a
+    hub of any size is at most one row for each shard.
     """
-    cells = written(links, "cells")
-    total = max(cells.count(), 1)
+    hubs = links.groupBy("hub").agg(
+        F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held")
+    )
+    hubs = written(hubs.withColumn("home", F.lit(None).cast("int")), "hubs")
+    bits = bucket_bits(hubs.count())
+    every = hubs.sparkSession.range(shards).select(F.col("id").cast("int").alias("home"))
     for turn in range(rounds):
-        load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-        every = cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-        room = every.join(load, "shard", "left").select("shard", (F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room"))
-        # one row per shard
-        rooms = room.agg(F.map_from_entries(F.collect_list(F.struct("shard", "room"))).alias("rooms"))
-        hubs = cells.groupBy("hub").agg(
-            F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held")
-        )
-
-        def wish(h: Column, s: Column, turn: int = turn) -> Column:
+        settled, open_hubs = hubs.filter(F.col("home").isNotNull()), hubs.filter(F.col("home").isNull())
+        load = settled.groupBy("home").agg(F.sum("size").alias("load"))
+        room = every.join(load, "home", "left").select("home", (F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room"))
+        # one row with an entry for each shard
+        rooms = room.agg(F.map_from_entries(F.collect_list(F.struct("home", "room"))).alias("rooms"))
+        seen = open_hubs.withColumn("rooms", rooms.scalar())
+
+        def wish(s: Column, turn: int = turn) -> Column:
             here = F.coalesce(F.element_at("held", s), F.lit(0).cast("long"))
-            free = F.element_at("rooms", s) + here >= F.col("size")
-            return F.struct(free.alias("free"), here.alias("here"), F.xxhash64(h, s, F.lit(turn)).alias("by"), s.alias("shard"))
+            free = F.element_at("rooms", s) >= F.col("size")
+            return F.struct(free.alias("free"), here.alias("here"), F.xxhash64("hub", s, F.lit(turn)).alias("by"), s.alias("shard"))
 
-        options = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: wish(F.col("hub"), s))
-        best = hubs.withColumn("rooms", rooms.scalar()).withColumn("best", F.array_max(options))
-        movers = best.select(
+        best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), wish))
+        large_first = F.shiftleft(63 - F.floor(F.log2(F.col("size").cast("double"))).cast("long"), 57)
+        movers = seen.withColumn("best", best).select(
             "hub", "size", "held", F.col("best.shard").alias("to"), F.element_at("rooms", F.col("best.shard")).alias("room"),
-            (F.col("size") - F.col("best.here")).alias("incoming"), F.xxhash64("hub", F.lit(f"turn {turn}")).alias("_h"),
-        ).withColumn("incoming", F.when(F.col("incoming") > 0, F.col("incoming")).otherwise(0))
-        ordered = _ahead(movers, "to", "_h", ["hub"], "incoming", "earlier", total)
-        moved = (F.col("earlier") + F.col("incoming") <= F.col("room")) & (F.col("incoming") > 0)
-        result = ordered.withColumn(
-            "held", F.when(moved, F.create_map("to", "size")).otherwise(F.col("held"))
-        ).select("hub", F.explode("held").alias("shard", "n"))
-        cells = written(result, "cells")
-    return cells
+            large_first.bitwiseOR(F.shiftrightunsigned(F.xxhash64("hub", F.lit("turn")), 7)).alias("_h"),
+        )
+        ordered = running(movers, "to", "_h", ["hub"], F.col("size"), "earlier", bits)
+        home = F.when(F.col("earlier") + F.col("size") <= F.col("room"), F.col("to"))
+        moved = ordered.select("hub", "size", "held", home.alias("home"))
+        hubs = written(settled.unionByName(moved), "hubs")
+    final = F.when(F.col("home").isNull(), F.col("held")).otherwise(F.create_map("home", "size"))
+    return hubs.select("hub", F.explode(final).alias("shard", "n"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (a settled table with ``rid``, unique, and ``digest``) with ``shard`` and ``slot``.
 
-    Documents with equal ``digest`` are linked through a hub. A group above an eighth of a shard is first cut into hubs of about
+    Documents with equal ``digest`` are linked through a hub. A group above half a shard is first cut into hubs of about
     that size. After :func:`propagate`, what exceeds a shard's quota of rows is released, and released and unlinked documents
     fill the quotas, in a hashed order. Quotas differ by one row at most, so the counts of the shards do.
     """
@@ -76,7 +74,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     rows = written(rows.select(*docs.columns, "hub", "first", "cuts"), "shard-rows")
     linked = rows.filter(F.col("hub").isNotNull())
     links = linked.groupBy("hub", F.col("first").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    cells = propagate(links, min(quota), shards, rounds)
+    cells = written(propagate(links, min(quota), shards, rounds), "cells")
 
     # a hub's members take its cells in order: first those of the first cell, and so on
     bits = bucket_bits(total)
