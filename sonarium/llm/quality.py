@@ -13,6 +13,7 @@ from sonarium.llm.common import SPACE, UPPER, let, written
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
+BROADCAST_GROUPS = 10_000
 
 #: Smallest standard deviation used for each transformed statistic: steps below it are no sign of a bad text.
 FLOORS = {"z_words": 0.5, "z_length": 0.1, "z_symbols": 0.05, "z_lines": 0.15, "z_repeats": 0.15, "z_upper": 0.05, "z_kinds": 0.05}
@@ -189,11 +190,17 @@ def reject_outliers(
     )
     held = ["cell", *[f"m{i}" for i in range(p)], *[f"w{i}_{j}" for i in range(p) for j in range(i + 1)]]
     params = written(_invert(start, p).select(*held), "mcd-start")
+    # one row per group: broadcast while the groups are few, so that no row of the documents is shuffled by its group
+    few = params.count() <= BROADCAST_GROUPS
+
+    def by_cell(side: DataFrame) -> DataFrame:
+        return z.join(F.broadcast(side) if few else side, "cell")
+
     for _ in range(steps):
-        near = z.join(params, "cell").withColumn("_d2", _distance(p))
+        near = by_cell(params).withColumn("_d2", _distance(p))
         bound = near.groupBy("cell").agg(F.percentile_approx("_d2", half, accuracy).alias("_bound"))
         bound = written(params.join(bound, "cell"), "mcd-bound")
-        kept = z.join(bound, "cell").withColumn("_d2", _distance(p)).filter(F.col("_d2") <= F.col("_bound"))
+        kept = by_cell(bound).withColumn("_d2", _distance(p)).filter(F.col("_d2") <= F.col("_bound"))
         # sums are taken around the last centre, where they lose no digits
         shifted = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
         sums = kept.groupBy("cell").agg(
@@ -216,10 +223,10 @@ def reject_outliers(
             ],
         )
         params = written(_invert(moments, p).select(*held), "mcd-step")
-    near = z.join(params, "cell").withColumn("_d2", _distance(p))
+    near = by_cell(params).withColumn("_d2", _distance(p))
     middle = written(near.groupBy("cell").agg(F.percentile_approx("_d2", 0.5, accuracy).alias("_middle")), "mcd-scale")
     scale = F.greatest(F.col("_middle") / chi_square(p, 0.0), F.lit(1.0))
-    out = near.join(middle, "cell").withColumn("_d2", F.col("_d2") / scale)
+    out = by_cell(params.join(middle, "cell")).withColumn("_d2", _distance(p) / scale)
     return out.withColumn("_inlier", F.col("_d2") <= chi_square(p, cut)).select(*docs.columns, "_d2", "_inlier")
 
 
