@@ -22,8 +22,8 @@ def explode_attention(df: DataFrame, clip: str = "clip", attention: str = "atten
     return rows.select("clip", "layer", "head", "i", F.posexplode("_r").alias("j", "w"))
 
 
-def truncate_attention(cells: DataFrame, heads: int = 16, positions: int = 100) -> DataFrame:
-    """The published tool's bound on one of its extraction paths; not applied anywhere unless asked for."""
+def truncate_attention(cells: DataFrame, heads: int, positions: int) -> DataFrame:
+    """The cells of the first heads and positions, for a caller that wants a corner of the matrix only."""
     return cells.filter((F.col("head") < heads) & (F.col("i") < positions) & (F.col("j") < positions))
 
 

@@ -35,12 +35,16 @@ def embedding_rows(df: DataFrame, file: str, vector: str) -> DataFrame:
 def pca(df: DataFrame, file: str, vector: str, k: int = 3) -> DataFrame:
     """Centred PCA coordinates; the sign makes each axis' largest loading positive. Fewer than two rows give none.
 
+    Rows without a vector, or with a value missing from it, are left out; there are no more axes than dimensions.
+
     Only the mean and the dimension-by-dimension covariance reach the driver, both of the vector's length, never the rows.
     """
-    data = df.select(file, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    data = df.filter(whole).select(file, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     if len(data.select(file).limit(2).take(2)) < 2:
         return df.select(file, F.array().cast("array<double>").alias("coordinates")).limit(0)
     centre = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(data)
+    k = min(k, centre.mean.size)
     model = PCA(k=k, inputCol="_c", outputCol="_z").fit(centre.transform(data))
     axes = model.pc.toArray()
     signs = [float(s) for s in np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])]

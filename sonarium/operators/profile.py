@@ -64,9 +64,15 @@ def histogram(long: DataFrame, bins: int = 10) -> DataFrame:
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     ))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    placed = attach_small(long, ranges, ["feature"], settled=True).select(
-        "feature", F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")
+    # the edges decide, not the division: a value on an edge belongs to the bin that begins there
+    near = F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    low, high = F.col("_lo") + F.col("bin") * width, F.col("_lo") + (F.col("bin") + 1) * width
+    exact = (
+        F.when((F.col("bin") > 0) & (F.col("value") < low), F.col("bin") - 1)
+        .when((F.col("bin") < bins - 1) & (F.col("value") >= high), F.col("bin") + 1)
+        .otherwise(F.col("bin"))
     )
+    placed = attach_small(long, ranges, ["feature"], settled=True).withColumn("bin", near).select("feature", exact.alias("bin"))
     counts = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["feature", "bin"], "left").select(

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.fixed import SESSION_TTL
-from sonarium.operators.blocks import number_rows, with_group_stats
+from sonarium.operators.blocks import number_rows, with_group_stats, with_previous
 
 
-def since_clear(commands: DataFrame) -> DataFrame:
-    """Commands after the last clear of their session; found per block of the log, so a busy session is no hot spot."""
-    marked = with_group_stats(
-        commands, ["session_id"], "seq", _clear=("max", F.when(F.col("op") == "clear", F.col("seq")))
-    )
-    return marked.filter(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).drop("_clear")
+def since_clear(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
+    """Commands of their session's present life: after the last clear, and from the last command that followed ``ttl_s`` idle.
+
+    ``commands`` has a time ``at`` that does not fall along ``seq``. Both are found per block of the log, so a busy session is no
+    hot spot.
+    """
+    timed = commands.withColumn("_at", F.unix_micros("at"))
+    lagged = with_previous(timed, ["session_id"], "seq", "_at", "_before")
+    idle = F.col("_at") - F.col("_before") >= ttl_s * 1_000_000
+    begins = F.when(F.col("op") == "clear", F.col("seq") + 1).when(idle, F.col("seq"))
+    marked = with_group_stats(lagged, ["session_id"], "seq", _first=("max", begins))
+    return marked.filter(F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first", "_at", "_before")
 
 
 def queue_items(commands: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def queue_items(commands: DataFrame) -> DataFrame:
 
 
 def queue_progress(commands: DataFrame) -> DataFrame:
-    """Merged progress: the last value of each key since the last clear."""
+    """Merged progress: the last value of each key in the session's present life."""
     patches = since_clear(commands).filter(F.col("op") == "progress")
     return patches.groupBy("session_id", "key").agg(F.max_by("value", "seq").alias("value"))
 
@@ -39,12 +45,13 @@ def queue_sizes(commands: DataFrame) -> DataFrame:
     )
 
 
-def session_spans(touches: DataFrame, at: Column, ttl_s: int = SESSION_TTL, step_s: int = 3600) -> DataFrame:
+def session_spans(touches: DataFrame, at: Column, ttl_s: int = SESSION_TTL) -> DataFrame:
     """Lifetimes of sessions that end ``ttl_s`` after the last touch.
 
-    Touches are first reduced to one row per session and step (an hour, far below the lifetime), which combines on the map
-    side; the breaks between lifetimes are then found on those rows, at most one per hour of a session.
+    Touches are first reduced to one row per session and step (an hour, or the lifetime if that is shorter), which combines on
+    the map side: no break can lie inside a step. The breaks are then found on those rows.
     """
+    step_s = min(3600, ttl_s)
     micros = F.unix_micros(at.cast("timestamp"))
     hours = (
         touches.select("session_id", micros.alias("_t"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType
 
-from sonarium.functions.fixed import LONG_TTL, SHORT_TTL, TTL_BY_KIND
+from sonarium.functions.fixed import SHORT_TTL, TTL_BY_KIND
 from sonarium.functions.rows import literal_map
 
 # Names of scoring functions a caller may register: name -> function that loads a model and returns its batch function.
@@ -36,15 +36,13 @@ def latest_results(log: DataFrame, keys: Sequence[str] = ("model", "key"), order
 
 def visible_results(
     log: DataFrame, now: Column, keys: Sequence[str] = ("model", "key"), order: Sequence[str] = ("written_at", "seq"),
-    ttl: str = "ttl_s", max_ttl: int = LONG_TTL,
+    ttl: str = "ttl_s",
 ) -> DataFrame:
     """Results that can be read at ``now``: the last write per key, while now < written_at + ttl.
 
-    A last write that has expired hides older ones. Writes older than the longest lifetime cannot win and be visible, so
-    they are cut first, where the scan can skip them.
+    A last write that has expired hides older ones. The lifetime is the writer's and may be of any length.
     """
-    recent = log.filter(F.col("written_at") > now - F.make_interval(secs=F.lit(max_ttl)))
-    current = latest_results(recent, keys, order)
+    current = latest_results(log, keys, order)
     return current.filter(now < F.col("written_at") + F.make_interval(secs=F.col(ttl)))
 
 

@@ -76,16 +76,21 @@ def silent_runs(series: DataFrame, rate: int, seconds: float = 1.0, floor: float
 
 
 def dither_silence(series: DataFrame, rate: int, level: float = 1e-4, seed: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
-    """Add faint noise to every sample of a clip that holds a long silent run and lasts a second or more."""
-    runs = silent_runs(series, rate, bits=bits).select("clip").distinct().withColumn("_silent", F.lit(True))
-    sized = series.groupBy("clip").agg(F.min("i").alias("_first"), F.max("i").alias("_last")).join(runs, "clip", "left")
-    marked = attach_by_block(series, sized, CLIP, "i", "_first", "_last", bits)
-    return marked.withColumn(
-        "x", F.when(F.col("_silent"), F.col("x") + level * hashed_noise(seed, F.col("clip"), F.col("i"))).otherwise(F.col("x"))
-    ).drop("_silent")
+    """Replace the samples of each silent run of a second or more by faint noise; all others stay.
+
+    A run is listed once for each block of positions it touches, and a block's runs meet its samples, so neither a long run nor
+    a long clip meets in one task.
+    """
+    runs = silent_runs(series, rate, bits=bits).select("clip", "start", "end")
+    cut = runs.withColumn("_blk", F.explode(F.sequence(F.shiftright("start", bits), F.shiftright("end", bits))))
+    held = cut.groupBy("clip", "_blk").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
+    placed = series.withColumn("_blk", F.shiftright("i", bits)).join(held, ["clip", "_blk"], "left")
+    quiet = F.coalesce(F.exists("_runs", lambda r: F.col("i").between(r.start, r.end)), F.lit(False))
+    noise = level * hashed_noise(seed, F.col("clip"), F.col("i"))
+    return placed.withColumn("x", F.when(quiet, noise).otherwise(F.col("x"))).select(*series.columns)
 
 
-def crop(series: DataFrame, rate: float, max_seconds: float = 12.0) -> DataFrame:
+def crop(series: DataFrame, rate: float, max_seconds: float) -> DataFrame:
     return series.filter(F.col("i") < F.lit(int(max_seconds * rate)))
 
 

@@ -276,7 +276,8 @@ def profile_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "profile_histogram",
     f"""WITH long AS ({MELT_SQL}), r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY 1),
-    b AS (SELECT feature, CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS c FROM long JOIN r USING (feature) GROUP BY ALL)
+    n AS (SELECT feature, value, lo, hi, CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS k FROM long JOIN r USING (feature)),
+    b AS (SELECT feature, CASE WHEN k > 0 AND value < lo + k * ((hi - lo) / 10) THEN k - 1 WHEN k < 9 AND value >= lo + (k + 1) * ((hi - lo) / 10) THEN k + 1 ELSE k END AS bin, count(*) AS c FROM n GROUP BY ALL)
     SELECT r.feature, CAST(g.bin AS INTEGER) AS bin, {sql_rnd('lo + g.bin * ((hi - lo) / 10)')} AS left_edge,
       {sql_rnd('CASE WHEN g.bin = 9 THEN hi ELSE lo + (g.bin + 1) * ((hi - lo) / 10) END')} AS right_edge, coalesce(c, 0) AS "count"
     FROM r CROSS JOIN range(10) g(bin) LEFT JOIN b ON b.feature = r.feature AND b.bin = g.bin""",

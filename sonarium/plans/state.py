@@ -10,6 +10,7 @@ from sonarium.operators.results import latest_results
 from sonarium.plans.cohort import PUTS_SQL, make_linear_model
 from sonarium.plans.registry import query, rnd, sql_rnd, table
 from sonarium.session import shared_dir
+from sonarium.sources.results import ResultLog
 from sonarium.streaming import arrivals as A
 from sonarium.streaming import sessions as S
 
@@ -31,8 +32,8 @@ def as_commands(events: DataFrame) -> DataFrame:
 
 
 COMMANDS_SQL = """c AS (SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'clear' WHEN event_type IN ('purchase', 'view') THEN 'add' ELSE 'progress' END AS op,
-  event_type AS key, event_type || '_' || CAST(event_id AS VARCHAR) AS value FROM events),
-live AS (SELECT * FROM (SELECT *, max(CASE WHEN op = 'clear' THEN seq END) OVER (PARTITION BY session_id) AS cl FROM c) WHERE cl IS NULL OR seq > cl),
+  event_type AS key, event_type || '_' || CAST(event_id AS VARCHAR) AS value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) >= INTERVAL 24 HOUR AS idle FROM events),
+live AS (SELECT * FROM (SELECT *, max(CASE WHEN op = 'clear' THEN seq + 1 WHEN idle THEN seq END) OVER (PARTITION BY session_id) AS first FROM c) WHERE first IS NULL OR seq >= first),
 items AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS position, value AS item FROM live WHERE op = 'add'),
 prog AS (SELECT session_id, key, arg_max(value, seq) AS value FROM live WHERE op = 'progress' GROUP BY session_id, key)"""
 
@@ -131,8 +132,8 @@ def stream_score_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     files = A.read_drops(spark, sf, schema, glob="embeddings.parquet").select(
         "vec_id", "embedding", F.timestamp_seconds(F.col("vec_id") + 1_700_000_000).alias("arrived_at")
     )
-    out = shared_dir(spark, "scores")
+    log = ResultLog(spark, shared_dir(spark, "scores"))
     A.score_arrivals(
-        files, "vec_id", "arrived_at", "24 hours", out, shared_dir(spark, "state"), make_linear_model, ["embedding"], [[64]]
+        files, "vec_id", "arrived_at", "24 hours", log, "linear", shared_dir(spark, "state"), make_linear_model, ["embedding"], [[64]]
     ).awaitTermination()
-    return spark.read.parquet(out).select("vec_id", rnd("score").alias("score"))
+    return log.get("linear").select(F.col("key").cast("long").alias("vec_id"), rnd(F.col("payload").cast("double")).alias("score"))

@@ -281,13 +281,17 @@ def attention_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return A.attention_matrix(pairs).withColumn("w", rnd("w", 9))
 
 
+#: Turns of the longest conversation.
+TURNS = 8
+
+
 @query(
     "attention_grid",
-    f"""WITH {CELLS_SQL} SELECT clip, from_index, {', '.join(sql_rnd(f"coalesce(max(attention_weight) FILTER (to_index = {k}), 0)", 9) + f' AS to_{k}' for k in range(4))} FROM pairs GROUP BY clip, from_index""",
+    f"""WITH {CELLS_SQL} SELECT clip, from_index, {', '.join(sql_rnd(f"coalesce(max(attention_weight) FILTER (to_index = {k}), 0)", 9) + f' AS to_{k}' for k in range(TURNS))} FROM pairs GROUP BY clip, from_index""",
 )
 def attention_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = A.attention_grid(A.attention_pairs(chunks(spark, sf), matrix(spark, sf)), range(4))
-    return grid.select("clip", "from_index", *[rnd(f"to_{k}", 9).alias(f"to_{k}") for k in range(4)])
+    grid = A.attention_grid(A.attention_pairs(chunks(spark, sf), matrix(spark, sf)), range(TURNS))
+    return grid.select("clip", "from_index", *[rnd(f"to_{k}", 9).alias(f"to_{k}") for k in range(TURNS)])
 
 
 @query(

@@ -61,20 +61,33 @@ def wav_info(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=INFO_TYPE.names)
 
 
+def _channels(data: bytes) -> np.ndarray | None:
+    """Samples (channel, frame) of 8, 16, 24 or 32 bit WAV data in [-1, 1]; None for a file that cannot be read."""
+    try:
+        with wave.open(io.BytesIO(data)) as w:
+            raw, width, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
+        if width == 1:
+            flat = (np.frombuffer(raw, "u1").astype("float64") - 128.0) / 128.0
+        else:
+            # shorter samples become the high bytes of 32 bits
+            wide = np.zeros((len(raw) // width, 4), "u1")
+            wide[:, 4 - width :] = np.frombuffer(raw, "u1").reshape(-1, width)
+            flat = wide.view("<i4")[:, 0] / 2147483648.0
+        return flat.reshape(-1, channels).T
+    except Exception:
+        return None
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def wav_samples(content: pd.Series) -> pd.Series:
-    """Samples of the first channel of 8, 16 or 32 bit WAV data in [-1, 1]; null for a file that cannot be read."""
-    kinds = {1: ("u1", 128.0, 128.0), 2: ("<i2", 0.0, 32768.0), 4: ("<i4", 0.0, 2147483648.0)}
-    out = []
-    for data in content:
-        try:
-            with wave.open(io.BytesIO(data)) as w:
-                kind, centre, scale = kinds[w.getsampwidth()]
-                raw = np.frombuffer(w.readframes(w.getnframes()), dtype=kind)[:: w.getnchannels()]
-                out.append((raw.astype("float64") - centre) / scale)
-        except Exception:
-            out.append(None)
-    return pd.Series(out)
+    """The mean of all channels of WAV data; null for a file that cannot be read."""
+    return pd.Series([None if (x := _channels(data)) is None else x.mean(axis=0) for data in content], dtype=object)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def wav_channels(content: pd.Series) -> pd.Series:
+    """Every channel of WAV data; null for a file that cannot be read."""
+    return pd.Series([None if (x := _channels(data)) is None else [c.tolist() for c in x] for data in content], dtype=object)
 
 
 @F.pandas_udf(BinaryType())
@@ -93,10 +106,14 @@ def encode_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def read_waves(files: DataFrame) -> DataFrame:
-    """One row per readable file of :func:`audio_files`: path, samples of the first channel, sample rate."""
-    read = files.select("path", wav_samples("content").alias("wave"), wav_info("content").alias("_i"))
-    return read.filter(F.col("wave").isNotNull()).select("path", "wave", F.col("_i.sample_rate").alias("rate"))
+def read_waves(files: DataFrame, every_channel: bool = False) -> DataFrame:
+    """One row per file of :func:`audio_files`: path, the mean of its channels (or each channel), sample rate.
+
+    A file that cannot be read stays, with a null wave.
+    """
+    samples = wav_channels if every_channel else wav_samples
+    read = files.select("path", samples("content").alias("wave"), wav_info("content").alias("_i"))
+    return read.select("path", "wave", F.col("_i.sample_rate").alias("rate"))
 
 
 def clip_info(files: DataFrame) -> DataFrame:

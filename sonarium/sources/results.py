@@ -42,10 +42,14 @@ class ResultLog:
         stamped.write.mode("append").partitionBy("model").parquet(self.path)
 
     def log(self) -> DataFrame:
+        """All writes; none before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], LOG_TYPE)
         return self.spark.read.schema(LOG_TYPE).parquet(self.path)
 
     def get(self, model: str, now: Column | None = None) -> DataFrame:
-        """Visible results of one model; the partition filter and the age filter reach the scan."""
+        """Visible results of one model; the partition filter reaches the scan."""
         at = (now if now is not None else F.current_timestamp()).cast("timestamp")
         return visible_results(self.log().filter(F.col("model") == model), at)
 
@@ -53,11 +57,14 @@ class ResultLog:
         self, files: DataFrame, key: str, model: str, make_predict: Callable, features: Sequence[str],
         input_shapes: list | None = None, now: Column | None = None, seq: int = 0,
     ) -> DataFrame:
-        """Score the files the log lacks, append their results, and return the score of every file."""
+        """Score the files the log lacks, append their results, and return the score of every file.
+
+        A file the model fails on is not stored: its score is null here, and the next call tries it again.
+        """
         held = self.get(model, now).select(F.col("key").alias(key), F.col("payload").cast("double").alias("score"))
         typed = files.withColumn(key, F.col(key).cast("string"))
         fresh = score_missing(typed, held, key, make_predict, features, "score", DoubleType(), input_shapes=input_shapes)
-        new = fresh.filter(~F.col("from_cache")).select(F.col(key).alias("key"), F.col("score").alias("payload"))
+        new = fresh.filter(~F.col("from_cache") & F.col("score").isNotNull()).select(F.col(key).alias("key"), F.col("score").alias("payload"))
         self.put(new, model, now=now, seq=seq)
         stored = self.get(model, now).select(F.col("key").alias(key), F.col("payload").cast("double").alias("score"))
         return typed.select(key).join(stored, key, "left")

@@ -10,9 +10,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import StructType
 
-from sonarium.operators.results import latest_results, score_missing
+from sonarium.operators.results import latest_results
+from sonarium.sources.results import ResultLog
 
 
 def read_drops(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -37,17 +38,16 @@ def latest_result_stream(puts: DataFrame, log: str, checkpoint: str, keys: Seque
 
 
 def score_arrivals(
-    files: DataFrame, key: str, event_time: str, delay: str, results: str, checkpoint: str, make_predict: Callable,
+    files: DataFrame, key: str, event_time: str, delay: str, log: ResultLog, model: str, checkpoint: str, make_predict: Callable,
     features: Sequence[str], input_shapes: list | None = None,
 ) -> StreamingQuery:
-    """Score files as they arrive, each key once within the watermark; scores land in ``results``."""
+    """Score files as they arrive, each key once within the watermark, unless the result log holds them; scores land in the log.
+
+    A batch that is run again finds its scores in the log and adds nothing.
+    """
     once = files.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nothing = batch.select(key).limit(0).selectExpr(key, "CAST(NULL AS DOUBLE) AS score")
-        scored = score_missing(
-            batch, nothing, key, make_predict, features, "score", DoubleType(), input_shapes=input_shapes, no_cache=True
-        )
-        scored.select(key, "score").write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        log.score(batch, key, model, make_predict, features, input_shapes)
 
     return _start(once, write, checkpoint)

@@ -23,24 +23,26 @@ QUEUE_OUT = StructType(
         StructField("value", StringType()),
     ]
 )
-QUEUE_STATE = StructType([StructField("epoch", LongType()), StructField("next", LongType())])
+QUEUE_STATE = StructType([StructField("epoch", LongType()), StructField("next", LongType()), StructField("touched", LongType())])
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number the items of a session; the state is two numbers, however long the queue is."""
+    """Number the items of a session; the state is three numbers, however long the queue is."""
     if state.hasTimedOut:
         state.remove()
         return
     rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)  # one micro-batch of one session
-    held, position = state.get if state.exists else (int(rows["seq"].iloc[0]), 0)
-    # an epoch is named by the command that began it: the last clear, or the first command of a new session
-    rows["epoch"] = rows["seq"].where(rows["op"] == "clear").ffill().fillna(held).astype("int64")
+    micros = rows["at"].astype("datetime64[us, UTC]" if rows["at"].dt.tz else "datetime64[us]").astype("int64")
+    held, position, touched = state.get if state.exists else (int(rows["seq"].iloc[0]), 0, int(micros.iloc[0]))
+    # an epoch is named by the command that began it: a clear, the first after the lifetime without one, or the first at all
+    idle = micros - micros.shift(1, fill_value=touched) >= SESSION_TTL * 1_000_000
+    rows["epoch"] = rows["seq"].where((rows["op"] == "clear") | idle).ffill().fillna(held).astype("int64")
     added = rows["op"] == "add"
     within = added.groupby(rows["epoch"]).cumsum() - 1 + (rows["epoch"] == held) * position
     rows["position"] = within.where(added, -1)
     last = int(rows["epoch"].iloc[-1])
     waiting = int((added & (rows["epoch"] == last)).sum()) + (position if last == held else 0)
-    state.update((last, waiting))
+    state.update((last, waiting, int(micros.iloc[-1])))
     expiry = int(rows["at"].max().timestamp() * 1000) + SESSION_TTL * 1000
     state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
     rows["session_id"] = key[0]
@@ -50,7 +52,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def queue_stream(commands: DataFrame, delay: str = "24 hours") -> DataFrame:
     """Numbered command stream ``(session_id, epoch, op, position, seq, key, value)`` of commands with a time ``at``.
 
-    Each clear starts a new epoch. Limit the source's rows per trigger: one session's share of a micro-batch is folded in
+    Each clear, and each command after an idle lifetime, starts a new epoch, however the stream is cut into batches. Limit the source's rows per trigger: one session's share of a micro-batch is folded in
     one task. A session loses its state once the watermark has passed its last touch by its lifetime.
     """
     return (
