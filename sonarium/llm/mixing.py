@@ -98,6 +98,12 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return ranked.filter(F.col("rank") < F.col("need")).select("slot", "key", "rank").unionByName(lacking)
 
 
+def _shuffled(seed: str) -> Column:
+    """A uniform hash of the document's id, from 0 to 2**63, in the order of the MD5 digest's first 15 hexadecimal digits."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 3)
+
+
 def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
 
@@ -115,7 +121,7 @@ def mix(
     the stream, and ``pieces`` (``slot, key, at, epoch, start, length``), the words of the document at ``at`` that fill a slot.
     """
     rows = docs.withColumn("key", _source_key(F.col("source")))
-    rows = written(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
+    rows = written(rows.withColumn("_h", _shuffled(seed)), "mix-sizes")
     per_source = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(per_source, weights, epochs), "targets")
     bits = bucket_bits(rows.count())

@@ -14,7 +14,7 @@ import sonarium.llm.near_dups
 import sonarium.llm.packing
 import sonarium.llm.warc
 import sonarium.llm.words
-from sonarium.llm.chat import chat_digests, format_chats, read_chats
+from sonarium.llm.chat import CONTROL, END, NEXT, START, chat_digests, format_chats, read_chats
 from sonarium.llm.common import table
 from sonarium.llm.media import text_media
 from sonarium.llm.mixing import mixed_documents
@@ -95,4 +95,44 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = "coalesce({0}, '')"
+for _from, _to in (("&", "&amp;"), *((c, ("&lt;" if c[0] == "<" else "&lb;") + c[1:]) for c in CONTROL)):
+    _ESCAPED = f"replace({_ESCAPED}, '{_from}', '{_to}')"
+
+SIZE_SQL = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
+
+ORACLES: dict[str, str] = {
+    "op2_warc_zstd": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+    d AS (SELECT page_id, html, first, sha1(html) AS h FROM p JOIN f USING (html))
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+      list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER) >> b) & 31 AS INTEGER) + 1, 1)),
+        'string_agg', '')), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op3_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), t AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+    SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n""",
+    "op4_mix_sources": f"""WITH d AS (SELECT doc_id, source, {SIZE_SQL} AS size, substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+    o AS (SELECT *, row_number() OVER v AS place, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+      sum(weight) OVER () - coalesce(sum(weight) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM w WINDOW v AS (ORDER BY source_size / weight, source NULLS LAST)),
+    l AS (SELECT arg_min(CAST(rest AS DOUBLE) / CAST(free AS DOUBLE), place) AS level FROM o WHERE weight * (CAST(rest AS DOUBLE) / CAST(free AS DOUBLE)) <= 3 * source_size),
+    t AS (SELECT source, source_size, coalesce(least(weight * level, CAST(3 * source_size AS DOUBLE)), 0) AS target FROM w, l),
+    q AS (SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS took,
+      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda e: least(size, greatest(0, took - e * source_size - ahead)))) AS BIGINT) AS taken FROM q""",
+    "op10_format_chats": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+    m AS (SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS begins FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+      coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+      sum(length({_ESCAPED.format("text")})) + sum(begins * ({len(START) + len(END) + 2} + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;'))))
+        + (count(*) - sum(begins)) * {len(NEXT)} AS chars FROM m GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+}
