@@ -19,11 +19,17 @@ BLOCK_BITS = 16
 BROADCAST_ROWS = 100_000
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys and keeps the key columns of the left side once."""
-    renamed = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", keep: str | None = None) -> DataFrame:
+    """Equi-join that also matches null keys and keeps the key columns of the left side once.
+
+    Both sides meet on one struct of the keys, in which nulls are equal. With ``keep`` the struct stays under that name: a window
+    partitioned by it finds the rows already in place, so the join's shuffle is the only one.
+    """
+    name = keep or "_keys"
+    whole = F.struct(*keys).alias(name)
+    side = right.select(whole, *[c for c in right.columns if c not in keys])
+    joined = left.select("*", whole).join(side, name, how)
+    return joined.select(*left.columns, *[c for c in side.columns if c != name], *([name] if keep else []))
 
 
 def attach_small(
@@ -51,11 +57,11 @@ def number_rows(
     sizes = cut.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(order)
+    inside = Window.partitionBy("_g").orderBy(order)
     return (
-        match_keys(cut, starts, [*keys, "_blk"])
+        match_keys(cut, starts, [*keys, "_blk"], keep="_g")
         .withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_blk", "_start")
+        .drop("_blk", "_start", "_g")
     )
 
 
@@ -94,7 +100,7 @@ def with_group_stats(
 ) -> DataFrame:
     """Add group totals (``name=(count|sum|min|max, column)``) and carries (sums over the earlier blocks) to every row.
 
-    The rows are read twice: once to reduce each (group, block) to one row, once to join those rows back on the same
+    With ``keep_block`` the column ``_g`` names the row's block, by which the rows are partitioned. The rows are read twice: once to reduce each (group, block) to one row, once to join those rows back on the same
     key. Merging the blocks of a group happens on the reduced rows only.
     """
     carry = carry or {}
@@ -111,8 +117,7 @@ def with_group_stats(
         *[_MERGE[kind](f"_p_{n}").over(whole).alias(n) for n, (kind, _) in totals.items()],
         *[F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0.0)).alias(n) for n in carry],
     )
-    joined = match_keys(cut, side, [*keys, "_blk"])
-    return joined if keep_block else joined.drop("_blk")
+    return match_keys(cut, side, [*keys, "_blk"], keep="_g" if keep_block else None).drop("_blk")
 
 
 def running_sums(
@@ -120,10 +125,8 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along ``idx``, with group totals from the same pass if asked for."""
     carried = with_group_stats(df, keys, idx, bits, {"_carry": F.col(value)}, keep_block=True, **totals)
-    inside = (
-        Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return carried.withColumn(out, F.col("_carry") + F.sum(value).over(inside)).drop("_blk", "_carry")
+    inside = Window.partitionBy("_g").orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return carried.withColumn(out, F.col("_carry") + F.sum(value).over(inside)).drop("_g", "_carry")
 
 
 def with_previous(

@@ -5,16 +5,16 @@ All ordered work runs per (clip, block of positions), see :mod:`sonarium.operato
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.signal import hashed_noise
 from sonarium.operators.blocks import (
     BLOCK_BITS,
     attach_by_block,
+    match_keys,
     number_rows,
     order_stats,
-    running_sums,
     with_group_stats,
     with_previous,
 )
@@ -102,35 +102,65 @@ def crop_chunks(chunks: DataFrame, max_seconds: float, start: str = "start") ->
 def window_sums(series: DataFrame, back: Column, ahead: Column, bits: int = BLOCK_BITS) -> DataFrame:
     """Sum of x over positions i-back … i+ahead inside the clip; both widths may depend on the clip's length ``_n``.
 
-    The sum is a difference of two running sums, so its cost does not grow with the width. Each position sends its running
-    sum to the two positions whose window ends there; one grouping on (clip, position), which spreads any clip evenly,
-    brings them together. Windows cut off by the clip's end use the clip's total.
+    The clip is cut into stretches as long as the window. A window then is the end of one stretch and the beginning of the next,
+    so it is the sum of two running sums, one towards each side, and nothing is ever subtracted: a sample that is not finite, or
+    very large, touches only the windows that hold it. The running sums are carried over blocks inside a stretch, so the cost
+    does not grow with the width and no stretch is one task. Each position sends its two sums to the positions whose windows
+    end there; one grouping on (clip, position), which spreads any clip evenly, brings them together.
     """
-    summed = running_sums(
-        series.select("clip", "i", "x"), CLIP, "i", "x", "_p", bits, _n=("count", F.lit(1)), _total=("sum", F.col("x"))
-    ).withColumns({"_back": back, "_ahead": ahead})
+    sized = with_group_stats(series.select("clip", "i", "x"), CLIP, "i", bits, _n=("count", F.lit(1)))
+    sized = sized.withColumns({"_back": back, "_ahead": ahead})
+    wide = F.col("_back") + F.col("_ahead") + 1
+    cut = sized.withColumns({"_w": F.floor(F.col("i") / wide), "_blk": F.shiftright("i", bits)})
+    parts = cut.groupBy("clip", "_w", "_blk").agg(
+        F.sum("x").alias("_s"), F.max(F.floor((F.col("_n") - 1) / wide)).alias("_last")
+    )
+    stretch = Window.partitionBy("clip", "_w").orderBy("_blk")
+    side = parts.select(
+        "clip",
+        "_w",
+        "_blk",
+        F.coalesce(F.sum("_s").over(stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
+        F.coalesce(F.sum("_s").over(stretch.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_after"),
+        F.sum(F.when(F.col("_w") == F.col("_last"), F.col("_s"))).over(Window.partitionBy("clip")).alias("_tail"),
+    )
+    placed = match_keys(cut, side, ["clip", "_w", "_blk"], keep="_g")
+    inside = Window.partitionBy("_g").orderBy("i")
+    summed = placed.withColumns(
+        {
+            "_up": F.col("_before") + F.sum("x").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_down": F.col("_after") + F.sum("x").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
     nothing = F.lit(None).cast("double")
 
-    def send(target: Column, x: Column, plus: Column, minus: Column) -> Column:
-        kept = [F.col(c) for c in ("_n", "_total", "_back", "_ahead")]
-        return F.struct(target.alias("t"), x.alias("x"), plus.alias("plus"), minus.alias("minus"), *kept)
+    def send(target: Column, x: Column, up: Column, down: Column) -> Column:
+        kept = [F.col(c) for c in ("_n", "_tail", "_back", "_ahead")]
+        return F.struct(target.alias("t"), x.alias("x"), up.alias("up"), down.alias("down"), *kept)
 
-    i, p = F.col("i"), F.col("_p")
+    i = F.col("i")
     sent = summed.select(
         "clip",
         F.inline(
             F.array(
                 send(i, F.col("x"), nothing, nothing),
-                send(i - F.col("_ahead"), nothing, p, nothing),
-                send(i + F.col("_back") + 1, nothing, nothing, p),
+                send(i - F.col("_ahead"), nothing, F.col("_up"), nothing),
+                send(i + F.col("_back"), nothing, nothing, F.col("_down")),
             )
         ),
     ).filter((F.col("t") >= 0) & (F.col("t") < F.col("_n")))
     met = sent.groupBy("clip", F.col("t").alias("i")).agg(
-        *[F.max(c).alias(c) for c in ("x", "plus", "minus", "_n", "_total", "_back", "_ahead")]
+        *[F.max(c).alias(c) for c in ("x", "up", "down", "_n", "_tail", "_back", "_ahead")]
+    )
+    low, high = i - F.col("_back"), F.least(i + F.col("_ahead"), F.col("_n") - 1)
+    # the window's end is in the stretch of its beginning, or in the next one; behind the clip's end it is the last stretch
+    end = F.when(i + F.col("_ahead") < F.col("_n"), F.col("up")).otherwise(F.col("_tail"))
+    together = (
+        F.when(low < 0, end)
+        .when(F.floor(low / wide) == F.floor(high / wide), F.col("down"))
+        .otherwise(F.col("down") + end)
     )
-    window_sum = F.coalesce("plus", "_total") - F.coalesce("minus", F.lit(0.0))
-    return met.withColumn("window_sum", window_sum).drop("plus", "minus", "_total")
+    return met.withColumn("window_sum", together).drop("up", "down", "_tail")
 
 
 def smooth_centered(series: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:

@@ -37,6 +37,21 @@ def test_smooth_centered(waves):
     assert got["one"] == pytest.approx([0.5 / 3])
 
 
+def test_smoothing_stays_local(spark):
+    """A NaN, and samples of 1e17 and 1e7, touch only the windows that hold them."""
+    x = np.random.default_rng(8).normal(size=400)
+    for odd in (float("nan"), 1e17, 1e7):
+        y = x.copy()
+        y[150] = odd
+        df = S.series_from_arrays(spark.createDataFrame([("c", y.tolist()), (None, x.tolist())], "clip string, w array<double>"), "clip", "w")
+        got = arrays_of(S.smooth_centered(df, bits=4))
+        want = np.array([y[max(0, i - 3) : i + 4].sum() / 7 for i in range(400)])
+        np.testing.assert_allclose(got["c"], want, rtol=1e-12, atol=1e-12)
+        np.testing.assert_allclose(got[None], box(x, 7), atol=1e-12)
+        late = arrays_of(S.smooth_trailing(df, 1.0, bits=4))["c"]
+        np.testing.assert_allclose(late, [y[max(0, i - 3) : i + 1].mean() for i in range(400)], rtol=1e-12, atol=1e-12)
+
+
 @pytest.mark.parametrize("strength", [0.0, 0.5, 1.0])
 def test_smooth_trailing(waves, strength):
     arrays, df = waves
