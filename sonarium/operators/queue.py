@@ -9,8 +9,8 @@ from sonarium.functions.fixed import SESSION_TTL
 from sonarium.operators.blocks import number_rows, with_group_stats, with_previous
 
 
-def since_clear(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
-    """Commands of their session's present life: after the last clear, and from the last command that followed ``ttl_s`` idle.
+def with_life(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
+    """Adds ``_live``: whether a command belongs to its session's present life, after the last clear, and from the last command that followed ``ttl_s`` idle.
 
     ``commands`` has a time ``at`` that does not fall along ``seq``. Both are found per block of the log, so a busy session is no
     hot spot.
@@ -20,7 +20,12 @@ def since_clear(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
     idle = F.col("_at") - F.col("_before") >= ttl_s * 1_000_000
     begins = F.when(F.col("op") == "clear", F.col("seq") + 1).when(idle, F.col("seq"))
     marked = with_group_stats(lagged, ["session_id"], "seq", _first=("max", begins))
-    return marked.filter(F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first", "_at", "_before")
+    return marked.withColumn("_live", F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first", "_at", "_before")
+
+
+def since_clear(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
+    """Commands of their session's present life."""
+    return with_life(commands, ttl_s).filter("_live").drop("_live")
 
 
 def queue_items(commands: DataFrame) -> DataFrame:
@@ -37,11 +42,11 @@ def queue_progress(commands: DataFrame) -> DataFrame:
 
 def queue_sizes(commands: DataFrame) -> DataFrame:
     """Per session: number of waiting items and of progress keys; 0 after a clear."""
-    sessions = commands.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
-    items = queue_items(commands).groupBy("session_id").agg(F.count(F.lit(1)).alias("items"))
-    keys = queue_progress(commands).groupBy("session_id").agg(F.count(F.lit(1)).alias("keys"))
-    return (
-        sessions.join(items, "session_id", "left").join(keys, "session_id", "left").na.fill(0, ["items", "keys"])
+    live, op = F.col("_live"), F.col("op")
+    return with_life(commands).groupBy("session_id").agg(
+        F.max("seq").alias("last_seq"),
+        F.count_if(live & (op == "add")).alias("items"),
+        F.count_distinct(F.when(live & (op == "progress"), F.col("key"))).alias("keys"),
     )
 
 

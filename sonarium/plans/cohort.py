@@ -294,7 +294,7 @@ def profile_histogram(spark: SparkSession, sf: str) -> DataFrame:
       {sql_rnd('mean')} AS mean, {sql_rnd('std')} AS std FROM s ORDER BY nm * st DESC, feature LIMIT 10""",
 )
 def profile_prevalence(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = P.prevalence_rank(P.feature_stats(long_features(spark, sf)))
+    ranked = P.prevalence_rank(P.feature_stats(long_features(spark, sf), median=False))
     numbers = [c for c in ranked.columns if c != "feature"]
     return ranked.withColumns({c: rnd(c) for c in numbers})
 
