@@ -1,10 +1,12 @@
-"""Fixed values. They have to equal the published tool's for equal results, so they are stated here as they are."""
+"""Word lists, names, lifetimes and explanations that results depend on."""
 
 # fixed values: stop words of the cohort term count
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would "
-    "could should may might can this that these those i you he she it we they me him her us them"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him",
+    "her", "us", "them",
+]
 
 # fixed values: characters stripped from both ends of a token
 TOKEN_STRIP = '.,!?";:()[]{}'
@@ -127,7 +129,8 @@ FEATURE_DEFAULT_TEXT = "Audio feature - extracting characteristics from the audi
 FEATURE_EMPTY_TEXT = "Unknown audio feature."
 
 # fixed values: ordinal words used inside the explanations
-ORDINALS = (
-    "First Second Third Fourth Fifth Sixth Seventh Eighth Ninth Tenth Eleventh Twelfth Thirteenth Fourteenth Fifteenth "
-    "Sixteenth Seventeenth Eighteenth Nineteenth Twentieth"
-).split()
+ORDINALS = [
+    "First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth", "Eleventh",
+    "Twelfth", "Thirteenth", "Fourteenth", "Fifteenth", "Sixteenth", "Seventeenth", "Eighteenth", "Nineteenth",
+    "Twentieth",
+]
