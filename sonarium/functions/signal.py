@@ -10,13 +10,13 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def hashed_noise(seed: int, *place: Column) -> Column:
-    """Standard normal noise derived from a sample's place, so that a retried task draws the same numbers."""
+    """Standard normal noise from the MD5 digest of a sample's place, so that a retried task draws the same numbers."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in place], F.lit(str(seed))))
 
-    def uniform(salt: int) -> Column:
-        bits53 = F.shiftrightunsigned(F.xxhash64(*place, F.lit(seed), F.lit(salt)), 11)
-        return (bits53.cast("double") + 0.5) / float(1 << 53)
+    def uniform(first: int) -> Column:
+        return (F.conv(F.substring(digest, first, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(14))
 
 
 def add_noise(wave: Column, clip: Column, level: float = 0.005, seed: int = 0) -> Column:

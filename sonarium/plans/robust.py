@@ -29,8 +29,11 @@ def samples(df: DataFrame, digits: int = 9) -> DataFrame:
 WAVES_SQL = """v AS (SELECT vec_id AS clip, CAST(k AS INTEGER) AS i, embedding[k + 1]::DOUBLE AS x FROM embeddings, range(64) r(k))"""
 
 
-# the noise comes from a hash SQL does not have; pytest checks its moments
-@query("robust_noise")
+NOISE_SQL = """u AS (SELECT *, md5(CAST(clip AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|0') AS h FROM v),
+n AS (SELECT clip, i, x, (CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS a, (CAST('0x' || substr(h, 14, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS b FROM u)"""
+
+
+@query("robust_noise", f"WITH {WAVES_SQL}, {NOISE_SQL} SELECT clip, i, {sql_rnd('x + 0.005::DOUBLE * sqrt(-2 * ln(a)) * cos(2 * pi() * b)', 9)} AS x FROM n")
 def robust_noise(spark: SparkSession, sf: str) -> DataFrame:
     return samples(waves(spark, sf).withColumn("wave", N.add_noise(F.col("wave"), F.col("clip"))))
 
