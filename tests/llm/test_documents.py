@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import words
+from support import words
 from pyspark.sql import functions as F
 
 from sonarium.llm import common, mixing, near_dups, packing, quality, secrets, shards

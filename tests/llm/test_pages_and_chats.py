@@ -6,7 +6,7 @@ import hashlib
 import math
 
 import pytest
-from conftest import CLASHING
+from support import CLASHING
 from pyspark.sql import functions as F
 
 from sonarium.llm import chat, url_filter, warc

@@ -5,7 +5,7 @@ import re
 
 import oracle
 import pytest
-from conftest import words
+from support import words
 
 import corpus_pipeline
 from sonarium.llm import mixing, near_dups, quality, secrets
