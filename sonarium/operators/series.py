@@ -260,28 +260,37 @@ def tumbling_chunks(series: DataFrame, rate: float, seconds: float = 30.0) -> Da
     )
 
 
-def frame_features(series: DataFrame, frame: int = 2048, hop: int = 512, bits: int = BLOCK_BITS) -> DataFrame:
-    """RMS and zero-crossing rate over overlapping frames, each as mean, population std, min and max per clip.
+def frame_features(
+    series: DataFrame, rate: int, frame: int = 2048, hop: int = 512, centred: bool = True, bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Duration, sample rate, and RMS energy and zero-crossing rate over overlapping frames, as mean, population std, min and max.
 
     A sample is sent to the frame/hop frames it lies in and reduced there before the shuffle. A frame counts the sign
-    changes between its own samples. Frames are not centred; a clip shorter than one frame makes a single frame.
+    changes between its own samples. Centred frames lie around every hop-th sample: half a frame is padded on each side, with
+    silence for the energy and with the edge samples, which change no sign, for the crossings. A clip shorter than one frame makes a
+    single frame if frames are not centred.
     """
+    pad = frame // 2 if centred else 0
     before = with_previous(series, CLIP, "i", "x", "_before", bits)
     sized = with_group_stats(before, CLIP, "i", bits, _n=("count", F.lit(1)))
     negative, was_negative = F.col("x") < -1e-10, F.col("_before") < -1e-10
     crossing = (F.col("_before").isNotNull() & (negative != was_negative)).cast("int")
-    last_frame = F.greatest(F.lit(0), F.floor((F.col("_n") - frame) / hop))
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - frame + 1) / hop))
-    last = F.least(F.floor(F.col("i") / hop), last_frame)
+    at = F.col("i") + pad
+    last_frame = F.greatest(F.lit(0), F.floor((F.col("_n") + 2 * pad - frame) / hop))
+    first = F.greatest(F.lit(0), F.ceil((at - frame + 1) / hop))
+    last = F.least(F.floor(at / hop), last_frame)
     placed = sized.withColumn("_cross", crossing).withColumn(
         "_f", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
     )
-    inner = F.when(F.col("i") > F.col("_f") * hop, F.col("_cross")).otherwise(0)
+    inner = F.when(at > F.col("_f") * hop, F.col("_cross")).otherwise(0)
     frames = placed.groupBy("clip", "_f").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x")) / frame).alias("rms"),
+        F.max("_n").alias("_n"),
+        F.sqrt(F.sum(F.col("x") * F.col("x")) / frame).alias("rms_energy"),
         (F.sum(inner) / frame).alias("zero_crossing_rate"),
     )
     stats = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
     return frames.groupBy("clip").agg(
-        *[f(c).alias(f"{c}_{n}") for c in ("rms", "zero_crossing_rate") for n, f in stats.items()]
+        (F.max("_n") / F.lit(float(rate))).alias("duration"),
+        F.lit(rate).alias("sample_rate"),
+        *[f(c).alias(f"{c}_{n}") for c in ("rms_energy", "zero_crossing_rate") for n, f in stats.items()],
     )

@@ -192,13 +192,16 @@ def stats_sql(col: str) -> str:
 
 @query(
     "series_frame_features",
-    f"""WITH {WAVES_SQL}, {FRAMES_SQL}, g AS (SELECT clip, f, sqrt(sum(x * x) / {FRAME}) AS rms, count(*) FILTER ((x < -1e-10) <> (px < -1e-10)) / {FRAME} AS zero_crossing_rate FROM fr GROUP BY clip, f)
-    SELECT clip, {stats_sql('rms')}, {stats_sql('zero_crossing_rate')} FROM g GROUP BY clip""",
+    f"""WITH {WAVES_SQL}, fr AS (SELECT clip, f, x, lag(x) OVER (PARTITION BY clip, f ORDER BY i) AS px FROM v, range({64 // HOP + 1}) r(f)
+      WHERE i + {FRAME // 2} >= f * {HOP} AND i + {FRAME // 2} < f * {HOP} + {FRAME}),
+    g AS (SELECT clip, f, sqrt(sum(x * x) / {FRAME}) AS rms_energy, count(*) FILTER ((x < -1e-10) <> (px < -1e-10)) / {FRAME} AS zero_crossing_rate FROM fr GROUP BY clip, f)
+    SELECT clip, 64 / {RATE}::DOUBLE AS duration, {RATE} AS sample_rate, {stats_sql('rms_energy')}, {stats_sql('zero_crossing_rate')} FROM g GROUP BY clip""",
 )
 def series_frame_features(spark: SparkSession, sf: str) -> DataFrame:
     long = S.series_from_arrays(waves(spark, sf), "clip", "wave")
-    features = S.frame_features(long, FRAME, HOP)
-    return features.select("clip", *[rnd(c).alias(c) for c in features.columns if c != "clip"])
+    features = S.frame_features(long, RATE, FRAME, HOP)
+    plain = ("clip", "duration", "sample_rate")
+    return features.select(*plain, *[rnd(c).alias(c) for c in features.columns if c not in plain])
 
 
 @query(

@@ -107,16 +107,29 @@ def test_rms_downsample(waves):
 
 def test_frame_features(waves):
     arrays, df = waves
-    got = {r["clip"]: r for r in S.frame_features(df, 64, 16, BITS).collect()}
+    got = {r["clip"]: r for r in S.frame_features(df, 100, 64, 16, centred=False, bits=BITS).collect()}
     for c, a in arrays.items():
         padded = np.pad(a, (0, max(0, 64 - len(a))))
         frames = np.lib.stride_tricks.sliding_window_view(padded, 64)[::16]
         rms = np.sqrt((frames**2).mean(axis=1))
-        assert got[c]["rms_mean"] == pytest.approx(rms.mean()) and got[c]["rms_std"] == pytest.approx(rms.std(), abs=1e-9)
+        assert got[c]["rms_energy_mean"] == pytest.approx(rms.mean()) and got[c]["rms_energy_std"] == pytest.approx(rms.std(), abs=1e-9)
     frames = np.lib.stride_tricks.sliding_window_view(arrays["long"], 64)[::16] < 0
     zcr = (frames[:, 1:] != frames[:, :-1]).sum(axis=1) / 64
     assert got["long"]["zero_crossing_rate_mean"] == pytest.approx(zcr.mean())
     assert got["long"]["zero_crossing_rate_max"] == pytest.approx(zcr.max())
+    assert got["long"]["duration"] == 7.0 and got["long"]["sample_rate"] == 100
+
+
+def test_centred_frames(waves):
+    arrays, df = waves
+    got = {r["clip"]: r for r in S.frame_features(df, 100, 64, 16, bits=BITS).collect()}
+    for c, a in arrays.items():
+        frames = np.lib.stride_tricks.sliding_window_view(np.pad(a, 32), 64)[::16]
+        rms = np.sqrt((frames**2).mean(axis=1))
+        assert got[c]["rms_energy_mean"] == pytest.approx(rms.mean()) and got[c]["rms_energy_min"] == pytest.approx(rms.min())
+        edge = np.lib.stride_tricks.sliding_window_view(np.pad(a, 32, mode="edge"), 64)[::16] < 0
+        zcr = (edge[:, 1:] != edge[:, :-1]).sum(axis=1) / 64
+        assert got[c]["zero_crossing_rate_mean"] == pytest.approx(zcr.mean())
 
 
 def test_segments(spark, waves):
