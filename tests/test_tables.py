@@ -26,6 +26,12 @@ def test_read_metadata(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("A.wav", 'Hello "you", all'), ("b.wav", "")]
 
 
+def test_metadata_white_space_and_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('\ta ,b\n"\tx \n y\t", \xa0z\n', encoding="utf-8")
+    rows = read_metadata(spark, str(tmp_path / "m.csv")).collect()
+    assert [tuple(r) for r in rows] == [("x \n y", "z")]
+
+
 def test_audio_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     with wave.open(str(tmp_path / "sub" / "tone.WAV"), "wb") as w:
