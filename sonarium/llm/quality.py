@@ -175,7 +175,8 @@ def reject_outliers(
     """
     p = len(FEATURES)
     z = docs.select("*", *[c.alias(n) for n, c in _features().items()])
-    cells = _groups(z, least).withColumnsRenamed({"lang": "_l", "source": "_s"})
+    cells = written(_groups(docs, least).withColumnsRenamed({"lang": "_l", "source": "_s"}), "cells")
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_GROUPS else cells
     z = z.join(cells, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
     z = written(z, "statistics")
     quartiles = z.groupBy("cell").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], accuracy).alias(f"q_{f}") for f in FEATURES])
