@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,15 +33,32 @@ def build_session(app: str = "sonarium", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only in a local session that names none is a temporary one made.
+    The folder comes from ``spark.checkpoint.dir``. Only in a local session that names none is a temporary one made, which goes when
+    the process ends. :func:`clear_shared` deletes what was written once the results have been read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders named by :func:`shared_dir`, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the folders this application made through :func:`shared_dir`; results not read yet can then not be read any more."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def settle(df: DataFrame) -> DataFrame:
