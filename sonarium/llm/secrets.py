@@ -8,17 +8,32 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.common import UPPER, let, written
+from sonarium.llm.common import UPPER, attach, let, written
 
 LOWER = UPPER.lower()
 DIGITS = "0123456789"
 
-#: A candidate is a whole run of these characters, 16 of them at least.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}"
-
 #: Words that name a credential, looked for before a candidate.
-NAMING = r"(?i)(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|bearer|auth)"
+NAMING = r"(?i:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|bearer|auth)"
+
+_RUN = r"[A-Za-z0-9+/_\-]"
+_NAME = r"[A-Za-z0-9+/_.\-]"
+_ASSIGN = r"[\"'`]?\s{0,8}+(?::=|=>|={1,3}+|:)\s{0,8}+"
+#: A name that holds a naming word, up to the value assigned to it.
+_NAMED = rf"(?<!{_NAME})(?={_NAME}++{_ASSIGN}){_NAME}*?{NAMING}{_NAME}*+{_ASSIGN}(?:(?i:bearer|basic|token)\s++)?+"
+#: A name in one run with its value, without blanks.
+_JOINED = rf"(?<!{_RUN})[A-Za-z0-9_\-]{{1,15}}+=++(?={_RUN})"
+_VALUE = r"(?:\"[^\"\n]+(?=\")|'[^'\n]+(?=')|`[^`\n]+(?=`)|[^\s\"'`]*[^\s\"'`,;.:)\]}>])"
+
+#: What is looked at: the value behind a naming word, of any length and characters; a value in a run of 16 or more with its name;
+#: a whole run of 16 or more. A name and its ``=`` or ``:`` are no part of the candidate (:func:`_name_length`).
+CANDIDATE = (
+    rf"{_NAMED}{_VALUE}|(?<!{_RUN})(?=[A-Za-z0-9+/_=\-]{{16}}){_JOINED}{_RUN}+={{0,2}}(?!{_RUN})"
+    rf"|(?<!{_RUN}){_RUN}{{16,}}+(?:={{1,2}}(?!{_RUN}))?|(?<={_RUN}{{16}}={{1,2}}){_RUN}++={{0,2}}"
+)
 CONTEXT = 48
+#: No found place is shorter, its name included, so that so many of them and their gaps hold the context.
+_NEAREST = CONTEXT // 6 + 1
 DICTIONARY_WORDS = 200
 TRAIN_ROWS = 20_000
 MASK = "[secret removed]"
@@ -30,9 +45,23 @@ def _gaps_and_candidates(text: Column) -> tuple[Column, Column]:
 
 def common_words(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent letter words of 3 to 12 characters in all texts, at most ``words`` of them."""
-    each = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    counts = each.filter(F.length("word").between(3, 12)).groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.col("count").desc(), "word").limit(words).collect()]
+    return _most_frequent(word_counts(docs), words)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, count``: every word of 3 letters or more that stands by itself in a text."""
+    each = docs.select(F.explode(F.split(F.lower("text"), r"[\s\p{P}]+")).alias("word"))
+    return each.filter(F.col("word").rlike(r"^\p{L}{3,}$")).groupBy("word").count()
+
+
+def _most_frequent(counts: DataFrame, words: int) -> list[str]:
+    short = counts.filter(F.length("word") <= 12)
+    return [r["word"] for r in short.orderBy(F.col("count").desc(), "word").limit(words).collect()]
+
+
+def _name_length(hit: Column) -> Column:
+    """Characters of a found place before its candidate: the name, its ``=`` or ``:`` and an opening quote."""
+    return F.length(F.regexp_extract(hit, rf"^(?:{_NAMED}[\"'`]?(?=.)|{_JOINED})", 0))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -45,18 +74,29 @@ def candidates(docs: DataFrame) -> DataFrame:
                 (at + F.length(F.get(hits, i))).alias("at"), F.concat(state.starts, F.array(at)).alias("starts")
             )
 
+        def around(i: Column) -> tuple[Column, Column]:
+            """The last characters before, and the first behind, the found place."""
+            first = F.greatest(i - _NEAREST, F.lit(0))
+            left = F.transform(F.slice(hits, first + 1, i - first), lambda c, k: F.concat(F.right(F.get(gaps, first + k), F.lit(CONTEXT)), F.right(c, F.lit(CONTEXT))))
+            right = F.transform(F.slice(hits, i + 2, F.lit(_NEAREST)), lambda c, k: F.concat(F.left(c, F.lit(CONTEXT)), F.left(F.get(gaps, i + k + 2), F.lit(CONTEXT))))
+            return (
+                F.concat(F.array_join(left, ""), F.right(F.get(gaps, i), F.lit(CONTEXT))),
+                F.concat(F.left(F.get(gaps, i + 1), F.lit(CONTEXT)), F.array_join(right, "")),
+            )
+
+        def place(start: Column, i: Column, name: Column) -> Column:
+            hit, (left, right) = F.get(hits, i), around(i)
+            return F.struct(
+                i.alias("place"),
+                (start + name).alias("start"),
+                F.substring(hit, name + 1, F.length(hit)).alias("candidate"),
+                F.right(F.concat(left, F.left(hit, name)), F.greatest(name, F.lit(CONTEXT))).alias("before"),
+                F.left(right, F.lit(CONTEXT)).alias("after"),
+            )
+
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
         starts = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step).starts
-        return F.transform(
-            starts,
-            lambda start, i: F.struct(
-                i.alias("place"),
-                start.alias("start"),
-                F.get(hits, i).alias("candidate"),
-                F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
-                F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"),
-            ),
-        )
+        return F.transform(starts, lambda start, i: let(_name_length(F.get(hits, i)), lambda name: place(start, i, name)))
 
     gaps, hits = _gaps_and_candidates(F.col("text"))
     some = docs.filter(F.col("text").rlike(CANDIDATE)).select(
@@ -85,7 +125,22 @@ FEATURES = (
 )
 
 
-def with_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
+#: A word counts as one of the corpus from so many places on.
+KNOWN_COUNT = 3
+
+
+def _with_known_parts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``_known``, the characters of the candidate's word parts (cut at capitals, digits and signs) that are words of the corpus."""
+    each = written(rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("_rows")), "distinct-candidates")
+    part = F.regexp_extract_all("candidate", F.lit(r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}"), F.lit(0))
+    parts = written(each.select("candidate", F.explode(part).alias("word")).withColumn("word", F.lower("word")), "word-parts")
+    words = counts.filter(F.col("count") >= KNOWN_COUNT).select("word", F.length("word").alias("_chars"))
+    words = written(parts.groupBy("word").agg(F.count(F.lit(1)).alias("_rows")).join(words, "word"), "known-parts")
+    known = attach(parts, words, ["word"]).groupBy("candidate").agg(F.coalesce(F.sum("_chars"), F.lit(0)).alias("_known"))
+    return attach(rows, written(each.join(known, "candidate"), "known-characters"), ["candidate"])
+
+
+def with_features(rows: DataFrame, dictionary: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Adds length, character shares and transitions, dictionary coverage, path and neighbourhood of each candidate."""
     c, size = F.col("candidate"), F.length("candidate")
     classes = F.translate(c, LOWER + UPPER + DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
@@ -94,6 +149,10 @@ def with_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
     # longer words first, so that a word inside a longer one does not break it
     words = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
     covered = 1 - F.length(F.regexp_replace(F.lower(c), words, "")) / size if words else F.lit(0.0)
+    if counts is not None:
+        # run-together words show by the most frequent words only, parts by all words
+        rows = _with_known_parts(rows, counts)
+        covered = F.greatest(covered, F.coalesce("_known", F.lit(0)) / size)
     values = {
         "length": size,
         "digits": _share(c, DIGITS),
@@ -109,19 +168,20 @@ def with_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
         "path_depth": F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))),
         "path_is_sample": F.lower(path).rlike("test|example|sample|doc"),
         "named": F.col("before").rlike(NAMING),
-        "assigned": F.col("before").rlike(r"[=:]\s*[\"'`]?$"),
+        "assigned": F.col("before").rlike(r"[=:]>?\s*(?:(?i:bearer|basic|token)\s+)?[\"'`]?$"),
         "quoted": F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]"),
         "words_before": F.size(F.split("before", r"\s+")),
         "words_after": F.size(F.split("after", r"\s+")),
     }
-    return rows.withColumns({k: v.cast("double") for k, v in values.items()})
+    return rows.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_known")
 
 
 def rule_labels() -> Column:
-    """1.0 for a mixed string assigned to a named credential, 0.0 for one that is neither named nor assigned, else null."""
+    """1.0 for a mixed string assigned to a named credential, 0.0 for plain words or one neither named nor assigned, else null."""
     named, assigned = F.col("named") > 0, F.col("assigned") > 0
     mixed = (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("entropy") > 3.0)
-    return F.when(named & assigned & mixed, 1.0).when(~named & ~assigned, 0.0)
+    prose = F.col("candidate").rlike(r"^\p{L}[\p{Ll} ,.'-]*$")
+    return F.when(named & assigned & mixed, 1.0).when((~named & ~assigned) | (named & assigned & prose), 0.0)
 
 
 def train(labelled: DataFrame, most: int = TRAIN_ROWS, trees: int = 24, depth: int = 6) -> RandomForestClassificationModel | None:
@@ -153,12 +213,14 @@ def judge_candidates(docs: DataFrame, labelled: DataFrame | None = None, path: s
     sure of, and the forest judges all candidates alike. Counts for the dictionary cover all documents.
     """
     keyed = _nodes(docs, path)
-    dictionary = common_words(keyed)
-    rows = written(with_features(candidates(keyed), dictionary), "candidates")
+    counts = written(word_counts(keyed), "words")
+    dictionary = _most_frequent(counts, DICTIONARY_WORDS)
+    found = written(candidates(keyed), "places")
+    rows = written(with_features(found, dictionary, counts), "candidates")
     if labelled is None:
         known = rows.withColumn("secret", rule_labels()).filter(F.col("secret").isNotNull())
     else:
-        known = with_features(labelled, dictionary)
+        known = with_features(labelled, dictionary, counts)
     model = train(known, most)
     if model is None:
         scored = rows.withColumn("probability", F.coalesce(rule_labels(), F.lit(0.0)))
@@ -183,7 +245,7 @@ def scan_secrets(docs: DataFrame, **settings) -> DataFrame:
 
 
 def remove_secrets(docs: DataFrame, mask: str = MASK, **settings) -> DataFrame:
-    """``docs`` with every candidate that is judged a secret replaced by ``mask``; all rows and columns stay.
+    """``docs`` with every candidate that is judged a secret replaced by ``mask``; all rows, columns and names stay.
 
     Texts are rebuilt from the same split that found the candidates, so nothing else changes.
     """
@@ -198,7 +260,7 @@ def remove_secrets(docs: DataFrame, mask: str = MASK, **settings) -> DataFrame:
         return F.concat(
             F.array_join(
                 F.transform(
-                    s.h, lambda c, i: F.concat(F.get(s.g, i), F.when(F.array_contains("_places", i), mask).otherwise(c))
+                    s.h, lambda c, i: F.concat(F.get(s.g, i), F.when(F.array_contains("_places", i), F.concat(F.left(c, _name_length(c)), F.lit(mask))).otherwise(c))
                 ),
                 "",
             ),
