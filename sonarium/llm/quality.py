@@ -13,10 +13,11 @@ from sonarium.llm.common import SPACE, UPPER, let, written
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
+KINDS_BLOCK = 512
 BROADCAST_GROUPS = 10_000
 
 #: Smallest standard deviation used for each transformed statistic: steps below it are no sign of a bad text.
-FLOORS = {"z_words": 0.5, "z_length": 0.1, "z_symbols": 0.05, "z_lines": 0.15, "z_repeats": 0.15, "z_upper": 0.05, "z_kinds": 0.05}
+FLOORS = {"z_length": 0.1, "z_symbols": 0.05, "z_lines": 0.15, "z_repeats": 0.15, "z_upper": 0.05, "z_kinds": 0.05}
 FEATURES = tuple(FLOORS)
 
 
@@ -57,6 +58,17 @@ def _repeated(words: Column) -> Column:
     return F.when(n <= WINDOW, F.lit(0)).otherwise(some)
 
 
+def _variety(words: Column) -> Column:
+    """Exponent of the kinds of words in ``KINDS_BLOCK`` consecutive words, the mean over the words of the whole text."""
+
+    def weighted(part: Column) -> Column:
+        return F.size(part) * F.log1p(F.size(F.array_distinct(part)).cast("double")) / F.log1p(F.size(part).cast("double"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / KINDS_BLOCK).cast("int"))
+    parts = F.transform(blocks, lambda b: weighted(F.slice(words, b * KINDS_BLOCK + 1, F.lit(KINDS_BLOCK))))
+    return F.when(F.size(words) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(words)).otherwise(0.0)
+
+
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds one struct column ``_q`` with the statistics of the whole text; null counts as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -71,7 +83,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(whole, SPACE), lambda w: w != ""),
         lambda words: F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_kinds"),
+            _variety(words).alias("variety"),
             _repeated(words).cast("long").alias("n_repeat_words"),
         ),
     )
@@ -85,7 +97,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 (F.length(whole) - F.length(_without(whole, SYMBOLS))).cast("long").alias("n_symbols"),
                 s.l.n_dup_lines.alias("n_dup_lines"),
                 s.w.n_repeat_words.alias("n_repeat_words"),
-                s.w.n_kinds.alias("n_kinds"),
+                s.w.variety.alias("variety"),
                 s.l.n_lines.alias("n_lines"),
                 (F.length(whole) - F.length(_without(whole, UPPER))).cast("long").alias("n_upper"),
             ),
@@ -101,15 +113,15 @@ def _features(q: str = "_q") -> dict[str, Column]:
         return F.sqrt(col(a) / F.greatest(col(b), F.lit(1.0)))
 
     words = F.greatest(col("n_words"), F.lit(1.0))
+    # the length of a text is no sign of its quality, so every statistic is free of it
     return {
-        "z_words": F.log1p(col("n_words")),
         "z_length": F.log1p(col("word_chars") / words),
         "z_symbols": share("n_symbols", "word_chars"),
         "z_lines": share("n_dup_lines", "n_lines"),
         "z_repeats": share("n_repeat_words", "n_words"),
         "z_upper": share("n_upper", "word_chars"),
-        # a text of n words holds fewer kinds of words the longer it is; the exponent hardly depends on the length
-        "z_kinds": F.log1p(col("n_kinds")) / F.log1p(words),
+        # a text holds fewer kinds of words in proportion the longer it is, so they are counted in blocks
+        "z_kinds": col("variety"),
     }
 
 
