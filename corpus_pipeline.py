@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents in sequences."""
-    return pack_documents(docs, TOKENIZER)
+    return pack_documents(docs, TOKENIZER, added=True)
 
 
 STAGES = [

@@ -159,15 +159,30 @@ def _byte_pairs(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_pairs", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def _added_tokens(path: str) -> dict[str, bytes]:
+    """Ids of a tokenizer file's added tokens, as little-endian 32-bit bytes."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on their neighbours are not supported")
+    return {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes; equal words are encoded once.
 
     A blank between two characters that are no white space always begins a token of a byte-level BPE of this kind, so a text
     is encoded blank by blank. Long words are not kept, and the kept ones are dropped when they become too many.
+
+    With ``added``, texts are cut at the file's added tokens, which give their own ids, as the file's own library does
+    unless it is told to encode them as plain text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         self.encoding = _byte_pairs(path)
+        self.ids = _added_tokens(path) if added else {}
+        # the leftmost token counts, of several there the longest
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.ids, key=len, reverse=True))) if self.ids else None
         self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
@@ -201,7 +216,15 @@ class Encoder:
         return self._plain(words[0]) + rest if head else rest
 
     def parts(self, text: str) -> Iterator[bytes]:
-        """Ids of consecutive parts of a text, cut at blanks, so that a long text is never encoded at once."""
+        """Ids of consecutive parts of a text, cut at added tokens and blanks, so that a long text is never encoded at once."""
+        at = 0
+        for found in self.cut.finditer(text) if self.cut else ():
+            yield from self._between(text[at : found.start()])
+            yield self.ids[found[0]]
+            at = found.end()
+        yield from self._between(text[at:] if at else text)
+
+    def _between(self, text: str) -> Iterator[bytes]:
         at = 0
         while at < len(text):
             blank = _INNER_BLANK.search(text, at + SEGMENT_CHARS)
@@ -214,7 +237,12 @@ END_ID = 1
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048
+    docs: DataFrame,
+    tokenizer: str,
+    max_tokens: int = 2048,
+    max_segments: int = 256,
+    max_loss: int = 2048,
+    added: bool = False,
 ) -> DataFrame:
     """Tokenise ``docs (doc_id, text)``, end each document with id 1, cut and pack all ids.
 
@@ -222,13 +250,14 @@ def pack_documents(
     Pieces that fill a sequence are cut from the front of a document; the rest goes to :class:`Packer`, which may cut it again.
     Each partition packs its own documents, with no shuffle and no global order.
 
-    ``tokenizer`` is the path of a tokenizer file on every machine. Null or empty text: one piece with the end id alone.
+    ``tokenizer`` is the path of a tokenizer file on every machine; with ``added``, its added tokens in a text get their own
+    ids, otherwise they are plain text. Null or empty text: one piece with the end id alone.
     Repeated rows and null ids are documents of their own. Very long texts are encoded part by part. An empty table gives no
     rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         packer = Packer(max_tokens, max_segments, max_loss, split=True)
         rows, whole = _Rows(), min(max_tokens, max_loss)
 

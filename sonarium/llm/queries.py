@@ -75,7 +75,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, added=True)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
