@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import sonarium.llm.compression
 import sonarium.llm.jpeg
 import sonarium.llm.media
 import sonarium.llm.near_dups
 import sonarium.llm.packing
+import sonarium.llm.vector_codes
+import sonarium.llm.vectors
 import sonarium.llm.warc
+import sonarium.llm.whitening
 import sonarium.llm.words
 from sonarium.llm.chat import CONTROL, END, NEXT, START, chat_digests, format_chats, read_chats
 from sonarium.llm.common import table
+from sonarium.llm.compression import score_quality
 from sonarium.llm.media import text_media
 from sonarium.llm.mixing import mixed_documents
 from sonarium.llm.near_dups import near_duplicates
@@ -24,17 +29,23 @@ from sonarium.llm.quality import judge
 from sonarium.llm.secrets import scan_secrets
 from sonarium.llm.shards import shard_documents
 from sonarium.llm.url_filter import filter_urls
+from sonarium.llm.vector_codes import ENTRIES, FACTOR, PARTS, ROUNDS, compress_vectors
 from sonarium.llm.warc import archive_pages
+from sonarium.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Python workers may start without this folder on their path: ship the Arrow functions by value.
 for _module in (
+    sonarium.llm.compression,
     sonarium.llm.jpeg,
     sonarium.llm.media,
     sonarium.llm.near_dups,
     sonarium.llm.packing,
+    sonarium.llm.vector_codes,
+    sonarium.llm.vectors,
     sonarium.llm.warc,
+    sonarium.llm.whitening,
     sonarium.llm.words,
 ):
     cloudpickle.register_pickle_by_value(_module)
@@ -87,11 +98,23 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(read_chats(format_chats(turns.unionByName(spark.sql(ODD_CHAT)))))
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_contour_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_media_jpeg, op2_warc_zstd, op3_near_duplicates, op4_mix_sources, op5_shards, op6_url_filter, op7_quality_rules,
-        op8_pack_documents, op9_secret_scan, op10_format_chats,
+        op8_pack_documents, op9_secret_scan, op10_format_chats, op11_compression_quality, op12_vector_codes, op13_contour_whitening,
     )
 }
 
@@ -101,6 +124,29 @@ for _from, _to in (("&", "&amp;"), *((c, ("&lt;" if c[0] == "<" else "&lb;") + c
 
 SIZE_SQL = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
 
+
+
+def _codebook_sql() -> str:
+    """The rounds of the vector codes in SQL: every part against every entry, without blocks or shortlists."""
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({FACTOR} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] AS x FROM k, (SELECT unnest(range({PARTS})) AS p)),
+    c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {ENTRIES}))"""
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x.p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m
+    FROM x JOIN c{r} c ON x.p = c.p GROUP BY vec_id, x.p)""")
+        if r < ROUNDS:
+            steps.append(f"""s{r} AS (SELECT p, m.e AS e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS f FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM x))) AS i) GROUP BY ALL),
+    c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT p, e, list(f ORDER BY i) AS c FROM s{r} GROUP BY ALL) n ON n.p = c.p AND n.e = c.e)""")
+    steps.append(f"""f AS (SELECT vec_id, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id),
+    l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (vec_id) GROUP BY label),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{ROUNDS})""")
+    return "WITH " + ",\n    ".join(steps) + """
+    SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN k USING (vec_id) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h"""
+
+
 ORACLES: dict[str, str] = {
     "op2_warc_zstd": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
     d AS (SELECT page_id, html, first, sha1(html) AS h FROM p JOIN f USING (html))
@@ -135,4 +181,5 @@ ORACLES: dict[str, str] = {
       sum(length({_ESCAPED.format("text")})) + sum(begins * ({len(START) + len(END) + 2} + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;'))))
         + (count(*) - sum(begins)) * {len(NEXT)} AS chars FROM m GROUP BY conv_id)
     SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op12_vector_codes": _codebook_sql(),
 }
