@@ -49,17 +49,49 @@ def attach_small(
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+Bits = int | Column
+
+
+def _block(idx: Column | str, bits: Bits) -> Column:
+    idx = F.col(idx) if isinstance(idx, str) else idx
+    return F.shiftright(idx, bits) if isinstance(bits, int) else F.call_function("shiftright", idx, bits)
+
+
+def spread_bits(df: DataFrame, order: str, bits: int = BLOCK_BITS) -> Column:
+    """Bits that cut an order with gaps (time stamps, ids shared by all groups) into blocks of about ``2**bits`` rows of the table.
+
+    A dense order keeps ``bits``; one that uses every 1000th number gets ten more. A scalar subquery over the one column: nothing runs
+    while the plan is built.
+    """
+    span = F.max(order).cast("double") - F.min(order).cast("double") + 1
+    more = F.ceil(F.log2(span / F.count(order)))
+    return df.agg(F.least(F.lit(62), bits + F.greatest(F.lit(0), F.coalesce(more, F.lit(0)))).cast("int")).scalar()
+
+
+def _to_blocks(cut: DataFrame, side: DataFrame, keys: Sequence[str], placed: str | None) -> DataFrame:
+    """Join one row per (group, block) to the block's rows. Rows that a column ``placed`` already holds together stay where they are."""
+    if placed is None:
+        return match_keys(cut, side, [*keys, "_blk"], keep="_g")
+    whole = F.struct(*keys, "_blk").alias(placed)
+    return cut.join(side.select(whole, *[c for c in side.columns if c not in (*keys, "_blk")]), placed)
+
+
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: str, out: str = "i", bits: int = BLOCK_BITS
+    df: DataFrame, keys: Sequence[str], order: str, out: str = "i", bits: Bits = BLOCK_BITS, placed: str | None = None
 ) -> DataFrame:
-    """Zero-based position of each row in its group, ordered by a unique integer column."""
-    cut = df.withColumn("_blk", F.shiftright(F.col(order), bits))
-    sizes = cut.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    """Zero-based position of each row in its group, ordered by a unique integer column.
+
+    ``placed`` names a column of :func:`with_previous` by which the rows are partitioned already; they are not shuffled again.
+    """
+    cut = df.withColumn("_blk", _block(order, bits))
+    sizes = cut.groupBy(placed).agg(F.first("_blk").alias("_blk"), *[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias("_n")) if placed else (
+        cut.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    )
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_g").orderBy(order)
+    inside = Window.partitionBy(placed or "_g").orderBy(order)
     return (
-        match_keys(cut, starts, [*keys, "_blk"], keep="_g")
+        _to_blocks(cut, starts, keys, placed)
         .withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_blk", "_start", "_g")
     )
@@ -130,14 +162,24 @@ def running_sums(
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: Bits = BLOCK_BITS, keep_block: bool = False
 ) -> DataFrame:
-    """Value at the previous position; the last row of a block is also shown to the next block."""
-    blk = F.shiftright(F.col(idx), bits)
-    edge = F.shiftright(F.col(idx) + 1, bits) > blk
-    shown = df.withColumn("_blk", F.explode(F.when(edge, F.array(blk, blk + 1)).otherwise(F.array(blk))))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(idx)
-    return shown.withColumn(out, F.lag(value).over(inside)).filter(F.col("_blk") == blk).drop("_blk")
+    """Value of the group's previous row along ``idx``, null for the first; gaps in ``idx`` do not matter.
+
+    Each (group, block) is reduced to its last value before the shuffle, a window over these few rows hands it to the group's next
+    block that holds rows, and the rest happens inside the blocks. With ``keep_block`` the column ``_g`` names the row's block, by which
+    the rows are partitioned.
+    """
+    cut = df.withColumn("_blk", _block(idx, bits))
+    last = cut.groupBy(*keys, "_blk").agg(F.max_by(F.struct(value), F.col(idx)).alias("_last"))
+    order = Window.partitionBy(*keys).orderBy("_blk")
+    carried = last.select(*keys, "_blk", F.lag("_last").over(order).alias("_carried"))
+    inside = Window.partitionBy("_g").orderBy(idx)
+    return (
+        _to_blocks(cut, carried, keys, None)
+        .withColumn(out, F.coalesce(F.lag(F.struct(value)).over(inside), F.col("_carried"))[value])
+        .drop("_blk", "_carried", *([] if keep_block else ["_g"]))
+    )
 
 
 # --- exact order statistics -------------------------------------------------------------------------------------------

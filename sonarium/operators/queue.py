@@ -6,32 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.fixed import SESSION_TTL
-from sonarium.operators.blocks import number_rows, with_group_stats, with_previous
+from sonarium.operators.blocks import BLOCK_BITS, number_rows, spread_bits, with_previous
 
 
-def with_life(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
+def with_life(commands: DataFrame, ttl_s: int = SESSION_TTL, bits: int = BLOCK_BITS) -> DataFrame:
     """Adds ``_live``: whether a command belongs to its session's present life, after the last clear, and from the last command that followed ``ttl_s`` idle.
 
-    ``commands`` has a time ``at`` that does not fall along ``seq``. Both are found per block of the log, so a busy session is no
+    ``commands`` has a time ``at`` that does not fall along ``seq``; numbers may have gaps of any size, also such as all sessions
+    share. Rows are shuffled once, into blocks of their session (``_g``); only one row per block meets the session's other blocks, so a busy session is no
     hot spot.
     """
     timed = commands.withColumn("_at", F.unix_micros("at"))
-    lagged = with_previous(timed, ["session_id"], "seq", "_at", "_before")
+    cut = spread_bits(commands, "seq", bits)
+    lagged = with_previous(timed, ["session_id"], "seq", "_at", "_before", cut, keep_block=True)
     idle = F.col("_at") - F.col("_before") >= ttl_s * 1_000_000
     begins = F.when(F.col("op") == "clear", F.col("seq") + 1).when(idle, F.col("seq"))
-    marked = with_group_stats(lagged, ["session_id"], "seq", _first=("max", begins))
-    return marked.withColumn("_live", F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first", "_at", "_before")
+    blocks = lagged.groupBy("_g").agg(F.max(begins).alias("_begins"))
+    life = blocks.select("_g", F.max("_begins").over(Window.partitionBy("_g.session_id")).alias("_first"))
+    return lagged.join(life, "_g").withColumn("_live", F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first", "_at", "_before")
 
 
 def since_clear(commands: DataFrame, ttl_s: int = SESSION_TTL) -> DataFrame:
     """Commands of their session's present life."""
-    return with_life(commands, ttl_s).filter("_live").drop("_live")
+    return with_life(commands, ttl_s).filter("_live").drop("_live", "_g")
 
 
-def queue_items(commands: DataFrame) -> DataFrame:
+def queue_items(commands: DataFrame, ttl_s: int = SESSION_TTL, bits: int = BLOCK_BITS) -> DataFrame:
     """Waiting items in arrival order, one row per item: (session_id, position, item)."""
-    added = since_clear(commands).filter(F.col("op") == "add").select("session_id", "seq", F.col("value").alias("item"))
-    return number_rows(added, ["session_id"], "seq", "position").select("session_id", "position", "item")
+    live = with_life(commands, ttl_s, bits).filter(F.col("_live") & (F.col("op") == "add"))
+    added = live.select("session_id", "seq", F.col("value").alias("item"), "_g")
+    numbered = number_rows(added, ["session_id"], "seq", "position", spread_bits(commands, "seq", bits), placed="_g")
+    return numbered.select("session_id", "position", "item")
 
 
 def queue_progress(commands: DataFrame) -> DataFrame:

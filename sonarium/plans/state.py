@@ -9,7 +9,7 @@ from sonarium.operators import queue as Q
 from sonarium.operators.results import latest_results
 from sonarium.plans.cohort import PUTS_SQL, make_linear_model
 from sonarium.plans.registry import query, rnd, sql_rnd, table
-from sonarium.session import shared_dir
+from sonarium.session import ROCKSDB, shared_dir
 from sonarium.sources.results import ResultLog
 from sonarium.streaming import arrivals as A
 from sonarium.streaming import sessions as S
@@ -43,6 +43,13 @@ def queue_items(spark: SparkSession, sf: str) -> DataFrame:
     return Q.queue_items(as_commands(table(spark, sf, "events")))
 
 
+@query("queue_items_sparse", f"WITH {COMMANDS_SQL} SELECT session_id, position, item FROM items")
+def queue_items_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Command numbers with wide gaps, and small blocks, so that lives and positions cross many of them."""
+    commands = as_commands(table(spark, sf, "events"))
+    return Q.queue_items(commands.withColumn("seq", F.col("seq") * 70_001), bits=6)
+
+
 @query("queue_progress", f"WITH {COMMANDS_SQL} SELECT session_id, key, value FROM prog")
 def queue_progress(spark: SparkSession, sf: str) -> DataFrame:
     return Q.queue_progress(as_commands(table(spark, sf, "events")))
@@ -86,20 +93,34 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     return latest_results(spark.read.parquet(log).drop("batch_id")).select("model", "key", "seq", "payload")
 
 
-@query("stream_queue", f"WITH {COMMANDS_SQL} SELECT session_id, position, item FROM items")
-def stream_queue(spark: SparkSession, sf: str) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def queue_changes(spark: SparkSession, sf: str) -> DataFrame:
     out = shared_dir(spark, "queue")
-    numbered = S.queue_stream(as_commands(event_stream(spark, sf)))
-    (
-        numbered.writeStream.format("parquet")
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)  # map and timer state need this store
+    started = (
+        S.queue_stream(as_commands(event_stream(spark, sf)))
+        .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", shared_dir(spark, "state"))
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
-    now = S.current_epoch(spark.read.schema(S.QUEUE_OUT).parquet(out))
-    return now.filter(F.col("op") == "add").select("session_id", "position", F.col("value").alias("item"))
+    spark.conf.set(STORE, before)
+    started.awaitTermination()
+    return spark.read.schema(S.QUEUE_OUT).parquet(out)
+
+
+@query("stream_queue", f"WITH {COMMANDS_SQL} SELECT session_id, position, item FROM items")
+def stream_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return S.queue_now(queue_changes(spark, sf))
+
+
+@query("stream_progress", f"WITH {COMMANDS_SQL} SELECT session_id, key, value FROM prog")
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return S.progress_now(queue_changes(spark, sf))
 
 
 # only sessions the watermark (newest touch less 24 hours) has passed are out

@@ -7,65 +7,158 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sonarium.functions.fixed import SESSION_TTL
+from sonarium.operators.blocks import BLOCK_BITS, attach_small, number_rows, spread_bits
 
 QUEUE_OUT = StructType(
     [
         StructField("session_id", LongType()),
-        StructField("epoch", LongType()),
         StructField("op", StringType()),
-        StructField("position", LongType()),
         StructField("seq", LongType()),
         StructField("key", StringType()),
         StructField("value", StringType()),
     ]
 )
-QUEUE_STATE = StructType([StructField("epoch", LongType()), StructField("next", LongType()), StructField("touched", LongType())])
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number the items of a session; the state is three numbers, however long the queue is."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)  # one micro-batch of one session
-    micros = rows["at"].astype("datetime64[us, UTC]" if rows["at"].dt.tz else "datetime64[us]").astype("int64")
-    held, position, touched = state.get if state.exists else (int(rows["seq"].iloc[0]), 0, int(micros.iloc[0]))
-    # an epoch is named by the command that began it: a clear, the first after the lifetime without one, or the first at all
-    idle = micros - micros.shift(1, fill_value=touched) >= SESSION_TTL * 1_000_000
-    rows["epoch"] = rows["seq"].where((rows["op"] == "clear") | idle).ffill().fillna(held).astype("int64")
-    added = rows["op"] == "add"
-    within = added.groupby(rows["epoch"]).cumsum() - 1 + (rows["epoch"] == held) * position
-    rows["position"] = within.where(added, -1)
-    last = int(rows["epoch"].iloc[-1])
-    waiting = int((added & (rows["epoch"] == last)).sum()) + (position if last == held else 0)
-    state.update((last, waiting, int(micros.iloc[-1])))
-    expiry = int(rows["at"].max().timestamp() * 1000) + SESSION_TTL * 1000
-    state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-    rows["session_id"] = key[0]
-    yield rows[[f.name for f in QUEUE_OUT.fields]]
-
-
-def queue_stream(commands: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """Numbered command stream ``(session_id, epoch, op, position, seq, key, value)`` of commands with a time ``at``.
-
-    Each clear, and each command after an idle lifetime, starts a new epoch, however the stream is cut into batches. Limit the source's rows per trigger: one session's share of a micro-batch is folded in
-    one task. A session loses its state once the watermark has passed its last touch by its lifetime.
+LIFE = StructType([StructField("first", LongType()), StructField("touched", LongType()), StructField("last", LongType())])
+STEP = StructType([StructField("step", LongType())])
+TOUCH = StructType([StructField("low", LongType()), StructField("high", LongType()), StructField("seq", LongType())])
+KEY = StructType([StructField("key", StringType())])
+PATCH = StructType([StructField("seq", LongType()), StructField("value", StringType())])
+
+
+_LEAST = -(1 << 63)
+
+
+class QueueState(StatefulProcessor):
+    """One session's state: when its present life began, its touches by time step, and the last value of each progress key.
+
+    Rows of a batch are taken piece by piece, in whatever order the shuffle brings them, and nothing is kept of a piece but its touches:
+    one entry per step of at most an hour, inside which no break can lie. When the batch is through, the breaks between steps, together with those of earlier batches, say where the
+    life began. Items pass on to the sink at once, so the state does not grow with the queue.
+    """
+
+    def __init__(self, ttl_s: int = SESSION_TTL):
+        self.ttl_us, self.step_us = ttl_s * 1_000_000, min(3600, ttl_s) * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", LIFE)
+        self.touches = handle.getMapState("touches", STEP, TOUCH)
+        self.progress = handle.getMapState("progress", KEY, PATCH)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.life.get()
+        first, touched, final = held if held else (None, _LEAST, _LEAST)
+        begun = first
+        patches: dict[str, tuple[int, str]] = {}
+        for piece in rows:
+            at = piece["at"].astype("datetime64[us, UTC]" if piece["at"].dt.tz else "datetime64[us]").astype("int64")
+            cleared = piece.loc[piece["op"] == "clear", "seq"]
+            if len(cleared):
+                first = max(int(cleared.max()) + 1, _LEAST if first is None else first)
+            steps = pd.DataFrame({"step": at // self.step_us, "at": at, "seq": piece["seq"]}).groupby("step")
+            for step, low, high, seq in steps.agg(low=("at", "min"), high=("at", "max"), seq=("seq", "min")).itertuples():
+                now = self.touches.getValue((int(step),)) if self.touches.containsKey((int(step),)) else (low, high, seq)
+                self.touches.updateValue((int(step),), (min(int(low), now[0]), max(int(high), now[1]), min(int(seq), now[2])))
+            touched, final = max(int(at.max()), touched), max(int(piece["seq"].max()), final)
+            last = piece[piece["op"] == "progress"].sort_values("seq").drop_duplicates("key", keep="last")
+            for name, seq, value in last[["key", "seq", "value"]].itertuples(index=False):
+                if name not in patches or patches[name][0] < seq:
+                    patches[name] = (int(seq), value)
+            added = piece.loc[piece["op"] == "add", ["op", "seq", "key", "value"]]
+            if len(added):
+                yield added.assign(session_id=key[0])[[f.name for f in QUEUE_OUT.fields]]
+        first = self._life_from_breaks(first)
+        self.life.update((first, touched, final))
+        if first != begun:
+            # progress of an earlier life is forgotten
+            for (name,), (seq, _) in list(self.progress.iterator()):
+                if first is not None and seq < first:
+                    self.progress.removeKey((name,))
+            yield self._rows(key, [("life", first, None, None)])
+        moved = []
+        for name, (seq, value) in patches.items():
+            known = self.progress.getValue((name,)) if self.progress.containsKey((name,)) else None
+            if (first is None or seq >= first) and (known is None or known[0] < seq):
+                self.progress.updateValue((name,), (seq, value))
+                moved.append(("progress", seq, name, value))
+        if moved:
+            yield self._rows(key, moved)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((touched + self.ttl_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The lifetime has passed without a touch: the session's state goes, and a mark says that what comes next is another life."""
+        ended = self._rows(key, [("expired", self.life.get()[2] + 1, None, None)])
+        self.life.clear()
+        self.touches.clear()
+        self.progress.clear()
+        yield ended
+
+    def close(self) -> None:
+        pass
+
+    def _life_from_breaks(self, first: int | None) -> int | None:
+        """The life's first command after the last break; steps before that break are dropped."""
+        steps = sorted((k[0], *v) for k, v in self.touches.iterator())
+        for i in range(len(steps) - 1, 0, -1):
+            if steps[i][1] - steps[i - 1][2] >= self.ttl_us:
+                for step, *_ in steps[:i]:
+                    self.touches.removeKey((step,))
+                return max(steps[i][3], first if first is not None else steps[i][3])
+        return first
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=[f.name for f in QUEUE_OUT.fields])
+
+
+def queue_stream(commands: DataFrame, delay: str = "24 hours", ttl_s: int = SESSION_TTL) -> DataFrame:
+    """Changes of the sessions' queues ``(session_id, op, seq, key, value)``: ``add`` for each item, ``progress`` for each key that moved, ``life`` where a life began,
+    ``expired`` where one ended for good.
+
+    ``commands`` has a time ``at`` that does not fall along ``seq``. :func:`queue_now` and :func:`progress_now` read the present state from the
+    table the stream was written to; it is the same however the stream was cut into batches. A session's state is one value, one
+    entry per hour of its present life and one per progress key; it goes once the watermark has passed the last touch by the lifetime.
+    Needs the RocksDB state store (:func:`sonarium.session.build_session` sets it).
     """
     return (
         commands.withWatermark("at", delay)
         .groupBy("session_id")
-        .applyInPandasWithState(_fold, QUEUE_OUT, QUEUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(QueueState(ttl_s), QUEUE_OUT, "Append", "EventTime")
     )
 
 
-def current_epoch(numbered: DataFrame) -> DataFrame:
-    """Rows of each session's last epoch, from the table :func:`queue_stream` was written to."""
-    last = numbered.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
-    return numbered.join(last, ["session_id", "epoch"], "left_semi")
+def _present(changes: DataFrame, op: str, expired: bool) -> DataFrame:
+    """Rows of each session's present life. A mark of expiry counts if anything followed it, or, with ``expired``, in any case."""
+    mark = F.when(F.col("op") == "expired", F.col("seq"))
+    ends = changes.groupBy("session_id").agg(
+        F.max(F.when(F.col("op") == "life", F.col("seq"))).alias("_life"),
+        F.max(F.when(F.col("op") != "expired", F.col("seq"))).alias("_last"),
+        F.collect_set(mark).alias("_ends"),  # one a lifetime at most
+    )
+    over = F.array_max("_ends" if expired else F.filter("_ends", lambda e: e <= F.col("_last")))
+    lives = ends.select("session_id", F.greatest("_life", over).alias("_first"))
+    rows = attach_small(changes.filter(F.col("op") == op), lives, ["session_id"], "left")
+    return rows.filter(F.col("_first").isNull() | (F.col("seq") >= F.col("_first"))).drop("_first")
+
+
+def queue_now(changes: DataFrame, expired: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
+    """Waiting items ``(session_id, position, item)`` of the table :func:`queue_stream` was written to, numbered block by block.
+
+    With ``expired`` the queues of sessions whose lifetime the watermark has passed are empty; otherwise they are as they were left.
+    """
+    items = _present(changes, "add", expired).select("session_id", "seq", F.col("value").alias("item"))
+    return number_rows(items, ["session_id"], "seq", "position", spread_bits(changes, "seq", bits)).select("session_id", "position", "item")
+
+
+def progress_now(changes: DataFrame, expired: bool = False) -> DataFrame:
+    """Merged progress ``(session_id, key, value)``: the last value of each key in the session's present life."""
+    return _present(changes, "progress", expired).groupBy("session_id", "key").agg(F.max_by("value", "seq").alias("value"))
 
 
 def session_stream(touches: DataFrame, at: str, delay: str = "24 hours", gap: str = "24 hours", keys: tuple[Column | str, ...] = ("session_id",)) -> DataFrame:
