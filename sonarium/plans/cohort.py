@@ -11,11 +11,14 @@ from sonarium.functions import rows as R
 from sonarium.functions.fixed import TTL_BY_KIND
 from sonarium.operators import embed as E
 from sonarium.operators import labels as B
+from sonarium.operators import lookup as L
 from sonarium.operators import profile as P
 from sonarium.operators import results as M
 from sonarium.operators.terms import term_counts, term_tokens, top_terms
 from sonarium.plans.registry import query, rnd, sql_rnd, table
 from sonarium.plans.text import SQL_TOKENS
+from sonarium.session import shared_dir
+from sonarium.sources.results import ResultLog
 
 # --- labels -------------------------------------------------------------------------------------------------------------
 
@@ -160,6 +163,39 @@ def results_visible(spark: SparkSession, sf: str) -> DataFrame:
     return M.visible_results(written, now).select("model", "key", "seq", "payload")
 
 
+def appended(spark: SparkSession, rows: DataFrame, part_keys: int, writes: int = 4) -> ResultLog:
+    """``rows`` written to a new log in several appends, one of them before, the others around two compactions."""
+    log = ResultLog(spark, shared_dir(spark, "log"), part_keys)
+    dealt = rows.withColumn("_w", F.pmod(F.xxhash64("seq"), F.lit(writes)))
+    for w in range(writes):
+        log.append(dealt.filter(F.col("_w") == w))
+        if w in (1, 2):
+            log.compact()
+    return log
+
+
+@query("results_compacted", f'WITH {PUTS_SQL} SELECT model, CAST("key" AS VARCHAR) AS "key", seq, payload, ttl_s FROM latest')
+def results_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Last write per key from a log of many appends and two snapshots."""
+    rows = puts(spark, sf).withColumns({"key": F.col("key").cast("string"), "written_at": F.col("written_at").cast("timestamp")})
+    return M.latest_results(appended(spark, rows, 500).log()).select("model", "key", "seq", "payload", "ttl_s")
+
+
+@query(
+    "lookup_logged",
+    """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS payload, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def lookup_logged(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document looked up in a compacted log, of which only the parts are read whose filters hit."""
+    rows = table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("key"), F.col("quality").cast("string").alias("payload"), F.col("doc_id").alias("seq"),
+        F.lit(NOW).cast("timestamp").alias("written_at"), F.lit(60).alias("ttl_s"), F.lit("quality").alias("model"),
+    )
+    wanted = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"))
+    held = appended(spark, rows, 300).get("quality", F.lit(NOW), wanted).select("key", "payload")
+    return L.batch_check(wanted, held, "key").select("doc_id", "payload", "cached")
+
+
 @query(
     "results_ttl",
     f"""SELECT CAST({TTL_SQL} AS INTEGER) AS ttl_s, count(*) AS n FROM events GROUP BY 1""",

@@ -196,8 +196,8 @@ def test_queue_stream_matches_batch(spark, tmp_path):
     stream = read_drops(spark, str(tmp_path / "in"), cmds.schema, files_per_batch=1)
     q = S.queue_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
     q.trigger(availableNow=True).start().awaitTermination()
-    now = S.current_epoch(spark.read.schema(S.QUEUE_OUT).parquet(str(tmp_path / "out"))).filter("op = 'add'")
-    got = sorted((r["session_id"], r["position"], r["value"]) for r in now.collect())
+    now = S.queue_now(spark.read.schema(S.QUEUE_OUT).parquet(str(tmp_path / "out")))
+    got = sorted((r["session_id"], r["position"], r["item"]) for r in now.collect())
     want = sorted((r["session_id"], r["position"], r["item"]) for r in Q.queue_items(cmds).collect())
     assert got == want and want
 
@@ -218,8 +218,8 @@ def test_idle_sessions_start_anew(spark, tmp_path, cuts):
     stream = read_drops(spark, str(tmp_path / "in"), cmds.schema, files_per_batch=1)
     q = S.queue_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
     q.trigger(availableNow=True).start().awaitTermination()
-    now = S.current_epoch(spark.read.schema(S.QUEUE_OUT).parquet(str(tmp_path / "out"))).filter("op = 'add'")
-    assert sorted((r["session_id"], r["position"], r["value"]) for r in now.collect()) == want
+    now = S.queue_now(spark.read.schema(S.QUEUE_OUT).parquet(str(tmp_path / "out")))
+    assert sorted((r["session_id"], r["position"], r["item"]) for r in now.collect()) == want
 
 
 def test_latest_stream_replay(spark, tmp_path):
