@@ -160,3 +160,35 @@ def test_chunk_crop_and_times(spark):
     assert [(r["chunk"], r["offset_s"]) for r in rows] == [(0, 0.0)] * 3 + [(1, 3.0)] * 3 + [(2, 6.0)]
     chunks = df.select("clip", (F.col("i") * 2.0).alias("start"))
     assert S.crop_chunks(chunks, 6.0).count() == 3
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_segment_means_over_blocks(spark, gaps):
+    """Segments of all lengths that overlap, over several blocks; odd values touch only the segments that cover them."""
+    rng = np.random.default_rng(9)
+    n = 9000
+    x = rng.standard_normal(n)
+    x[[700, 8000]], x[4100], x[5000] = np.nan, 1e17, np.inf
+    null = set(rng.choice(n, 40 if gaps else 0, replace=False).tolist())
+    frames = spark.createDataFrame([("a", i, None if i in null else float(v)) for i, v in enumerate(x)], "clip string, i long, x double").repartition(5)
+    lengths = rng.choice([1, 2, 15, 16, 17, 100, 255, 256, 300, 4096, 6000], 400)
+    starts = rng.integers(0, n - 1, 400)
+    segs = [("a", k, float(s), float(min(n, s + l)), "w") for k, (s, l) in enumerate(zip(starts, lengths))]
+    df = spark.createDataFrame(segs, "clip string, seg long, start double, end double, word string").repartition(3)
+    got = {r["seg"]: r["saliency"] for r in G.score_word_segments(frames, df, spark.createDataFrame([("a", float(n))], "clip string, duration double")).collect()}
+    for _, k, a, b, _ in segs:
+        part = [x[i] for i in range(int(a), int(b)) if i not in null]
+        if not part:
+            assert k not in got
+        else:
+            assert got[k] == pytest.approx(np.mean(part), rel=1e-9, abs=1e-12, nan_ok=True), (a, b)
+    covers = df.select("seg", F.inline(G.covering_nodes(F.col("start").cast("long"), F.col("end").cast("long")))).filter("low < high").collect()
+    size = {}
+    for r in covers:
+        size.setdefault(r.seg, [0, set()])[0] += r.high - r.low
+        for node in range(r.low, r.high):
+            here = set(range(node << 2 * r.level, (node + 1) << 2 * r.level))
+            assert not here & size[r.seg][1]  # no frame twice
+            size[r.seg][1] |= here
+    for _, k, a, b, _ in segs:
+        assert size[k][1] == set(range(int(a), int(b))) and size[k][0] <= 6 * 7
