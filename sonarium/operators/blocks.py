@@ -125,7 +125,7 @@ def with_group_stats(
     df: DataFrame,
     keys: Sequence[str],
     idx: str,
-    bits: int = BLOCK_BITS,
+    bits: Bits = BLOCK_BITS,
     carry: Mapping[str, Column] | None = None,
     keep_block: bool = False,
     **totals: Part,
@@ -136,7 +136,7 @@ def with_group_stats(
     key. Merging the blocks of a group happens on the reduced rows only.
     """
     carry = carry or {}
-    cut = df.withColumn("_blk", F.shiftright(F.col(idx), bits))
+    cut = df.withColumn("_blk", _block(idx, bits))
     parts = cut.groupBy(*keys, "_blk").agg(
         *[_partial(kind, c).alias(f"_p_{n}") for n, (kind, c) in totals.items()],
         *[F.sum(c).alias(f"_c_{n}") for n, c in carry.items()],
@@ -153,7 +153,7 @@ def with_group_stats(
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: int = BLOCK_BITS, **totals: Part
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, bits: Bits = BLOCK_BITS, **totals: Part
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along ``idx``, with group totals from the same pass if asked for."""
     carried = with_group_stats(df, keys, idx, bits, {"_carry": F.col(value)}, keep_block=True, **totals)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions.rows import contains_any_case, human_size
-from sonarium.operators.blocks import match_keys, number_rows, running_sums
+from sonarium.operators.blocks import attach_small, match_keys, number_rows, running_sums, spread_bits
 from sonarium.session import settle
 
 
@@ -23,45 +23,89 @@ def with_default_duration(metadata: DataFrame, clips: DataFrame, key: str) -> Da
     )
 
 
+#: A name that a copy of another name could be given: stem, number, extension.
+_SUFFIXED = r"^(.*)_([1-9]\d{0,8})(\.[^.]*)?$"
+
+
 def dedupe_filenames(files: DataFrame, dataset: Sequence[str], name: str, arrival: str, out: str = "filename") -> DataFrame:
-    """Unique names per dataset: the first arrival keeps its name, later ones become ``stem_1.ext``, ``stem_2.ext``, …
+    """Unique names per dataset in the order of arrival: a name that is free stays, else the first free one of ``stem_1.ext``, ``stem_2.ext``, … is taken.
 
-    A suffixed name that another file already carries is skipped and the later copies move up, as the first free suffix
-    would. The k-th free suffix is k plus the taken suffixes below it, so it is a running sum over copies and taken
-    suffixes in order; copies of one name are numbered block by block, however many there are.
+    Only names given earlier count, so ``a.wav, a.wav, a_1.wav`` become ``a.wav, a_1.wav, a_1_1.wav``. ``arrival`` is a unique integer.
+    Copies of one name are numbered block by block, however many there are; :func:`_given_suffixes` finds which of their numbers literal names hold.
     """
-    keys = [*dataset, name]
-    mark = r"^(.*)_([1-9]\d{0,8})(\.[^.]*)?$"
-    ranked = number_rows(files, keys, arrival, "_copy")
-    copied = ranked.filter(F.col("_copy") == 1).select(*keys)
-    taken = (
-        files.select(*keys)
-        .distinct()
-        .select(
-            *dataset,
-            F.concat(F.regexp_extract(name, mark, 1), F.regexp_extract(name, mark, 3)).alias("_base"),
-            F.nullif(F.regexp_extract(name, mark, 2), F.lit("")).cast("long").alias("_no"),
+    pair = F.struct(*dataset, name)
+    ranked = number_rows(files.withColumn("_file", pair), ["_file"], arrival, "_pos", spread_bits(files, arrival))
+    given = _given_suffixes(files, dataset, name, arrival)
+    if given is None:
+        numbered = ranked.withColumn("_suffix", F.col("_pos"))
+    else:
+        # a name that a copy of another one took before its own first arrival gives all its arrivals to copies
+        taken = given.filter("_taken").select("_file", F.lit(1).alias("_late"))
+        copies = attach_small(ranked, taken, ["_file"], "left").withColumn("_copy", F.col("_pos") + F.coalesce("_late", F.lit(0)))
+        held = given.filter("_skipped").select(F.col("_parent").alias("_file"), "_no")
+        # a held suffix t with j held ones before it pushes every copy from t - j on by one
+        pushes = settle(
+            number_rows(held, ["_file"], "_no", "_before", spread_bits(held, "_no"))
+            .groupBy("_file", (2 * (F.col("_no") - F.col("_before"))).alias("_ord"))
+            .agg(F.count(F.lit(1)).alias("_w"))
         )
-        .filter(F.col("_no").isNotNull())
-        .withColumnRenamed("_base", name)
-        .join(copied, keys, "left_semi")
-    )
-    # a taken suffix t with j taken ones before it pushes every copy from t - j on by one
-    pushes = settle(
-        number_rows(taken, keys, "_no", "_before")
-        .groupBy(*keys, (2 * (F.col("_no") - F.col("_before"))).alias("_ord"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    both = ranked.withColumns({"_ord": 2 * F.col("_copy") + 1, "_w": F.lit(1)}).unionByName(
-        pushes, allowMissingColumns=True
-    )
-    summed = running_sums(both, keys, "_ord", "_w", "_sum").filter(F.col("_copy").isNotNull())
+        both = copies.withColumns({"_ord": 2 * F.col("_copy") + 1, "_w": (F.col("_copy") > 0).cast("long")}).unionByName(pushes, allowMissingColumns=True)
+        summed = running_sums(both, ["_file"], "_ord", "_w", "_sum").filter(F.col("_copy").isNotNull())
+        numbered = summed.withColumn("_suffix", F.when(F.col("_copy") > 0, F.col("_sum")).otherwise(0))
     ext = F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
-    suffix = (F.col("_sum") - 1).cast("long").cast("string")
-    return summed.withColumn(
-        out, F.when(F.col("_copy") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), suffix, ext))
-    ).drop("_copy", "_ord", "_w", "_sum")
+    renamed = F.concat(stem, F.lit("_"), F.col("_suffix").cast("long").cast("string"), ext)
+    named = numbered.withColumn(out, F.when(F.col("_suffix") == 0, F.col(name)).otherwise(renamed))
+    return named.select(*files.columns, *([] if out in files.columns else [out]))
+
+
+def _given_suffixes(files: DataFrame, dataset: Sequence[str], name: str, arrival: str) -> DataFrame | None:
+    """``_file, _parent, _no, _skipped, _taken`` for the names that a copy of another present name could be given; None if there are none.
+
+    ``_skipped``: the name was there before the copies came to its number. ``_taken``: a copy took it before its own first arrival. Numbers
+    of one name depend on the smaller ones only: number c is skipped if fewer than c - s copies, s being the skipped numbers below c,
+    had come when the literal name did. Starting from all skipped, running sums of the decisions are taken until no decision moves.
+    Names depend on the names they extend, so this is done for names that extend none first, then for those that extend these.
+    """
+    pair = F.struct(*dataset, name)
+    names = settle(files.groupBy(pair.alias("_file")).agg(F.min(arrival).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    text = F.col(f"_file.{name}")
+    number = F.nullif(F.regexp_extract(text, _SUFFIXED, 2), F.lit("")).cast("long")
+    base = F.concat(F.regexp_extract(text, _SUFFIXED, 1), F.regexp_extract(text, _SUFFIXED, 3))
+    extended = names.withColumn("_no", number).filter(F.col("_no").isNotNull())
+    parent = F.struct(*[F.col(f"_file.{d}").alias(d) for d in dataset], base.alias(name))
+    found = extended.withColumn("_parent", parent).join(names.select(F.col("_file").alias("_parent"), F.col("_n").alias("_of")), "_parent")
+    kids = settle(found.select("_file", "_parent", "_no", "_first", "_of"))
+    if kids.isEmpty():
+        return None
+    # how many files of the parent's name had come before the name itself
+    parents = kids.select(F.col("_parent").alias("_file")).distinct().withColumn("_is", F.lit(True))
+    come = attach_small(files.select(pair.alias("_file"), F.col(arrival).alias("_at")), parents, ["_file"]).select("_file", "_at", F.lit(1).alias("_w"))
+    marks = kids.select(F.col("_parent").alias("_file"), F.col("_first").alias("_at"), F.lit(0).alias("_w"), F.col("_file").alias("_kid"))
+    events = come.unionByName(marks, allowMissingColumns=True)
+    counted = running_sums(events, ["_file"], "_at", "_w", "_came", spread_bits(files, arrival)).filter(F.col("_kid").isNotNull())
+    kids = settle(kids.join(counted.select(F.col("_kid").alias("_file"), "_came"), "_file"))
+    # parents that extend no present name keep their first arrival's name
+    level = kids.select("_parent").distinct().join(kids.select(F.col("_file").alias("_parent")), "_parent", "left_anti").withColumn("_late", F.lit(0))
+    done = None
+    while True:
+        rows = settle(kids.join(level, "_parent"))
+        if rows.isEmpty():
+            return done
+        # the first arrival is no copy unless its name was taken
+        copies, total = F.greatest(F.col("_came") - 1 + F.col("_late"), F.lit(0)), F.col("_of") - 1 + F.col("_late")
+        decided = rows.withColumn("_skip", F.lit(1))
+        while True:
+            below = running_sums(decided, ["_parent"], "_no", "_skip", "_s", spread_bits(kids, "_no")).withColumn("_s", F.col("_s") - F.col("_skip"))
+            after = settle(below.withColumn("_now", (F.col("_s") < F.col("_no") - copies).cast("int")))
+            moved = not after.filter(F.col("_now") != F.col("_skip")).isEmpty()
+            decided = after.withColumn("_skip", F.col("_now")).drop("_now", "_s")
+            if not moved:
+                break
+        reached = F.col("_no") - F.col("_s") <= total
+        flags = after.select("_file", "_parent", "_no", (F.col("_now") == 1).alias("_skipped"), ((F.col("_now") == 0) & reached).alias("_taken"))
+        done = flags if done is None else done.unionByName(flags)
+        level = flags.select(F.col("_file").alias("_parent"), F.col("_taken").cast("int").alias("_late"))
 
 
 def dataset_summary(

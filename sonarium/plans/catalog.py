@@ -91,16 +91,25 @@ def catalog_dataset_ref(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("doc_id", "name", R.dataset_ref(F.col("name")).alias("r")).select("doc_id", "name", "r.*")
 
 
+# Every third name is one that a copy of the language's plain name could be given, every eleventh one that a copy of that could. The SQL
+# walks through the arrivals of each source with the list of names given so far.
+ARRIVING_SQL = """a AS MATERIALIZED (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k,
+  lang || CASE WHEN doc_id % 3 = 0 THEN '_' || CAST(n_chars % 40 + 1 AS VARCHAR) ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '_1' ELSE '' END AS stem FROM documents),
+g(source, k, doc_id, stem, given, held) AS (SELECT source, k, doc_id, stem, stem, [stem] FROM a WHERE k = 1
+  UNION ALL SELECT source, k, doc_id, stem, given, list_append(held, given) FROM (
+    SELECT a.source, a.k, a.doc_id, a.stem, held, CASE WHEN NOT list_contains(held, a.stem) THEN a.stem
+      ELSE list_filter(list_transform(range(1, CAST(a.k AS BIGINT) + 1), lambda c: a.stem || '_' || CAST(c AS VARCHAR)), lambda n: NOT list_contains(held, n))[1] END AS given
+    FROM g JOIN a ON a.source IS NOT DISTINCT FROM g.source AND a.k = g.k + 1))"""
+
+
 @query(
     "catalog_dedupe_names",
-    """WITH n AS (SELECT doc_id, source, lang || '.wav' AS name, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS c FROM documents)
-    SELECT doc_id, source, name AS original_filename,
-      CASE WHEN c = 0 THEN name ELSE regexp_replace(name, '\\.wav$', '') || '_' || CAST(c AS VARCHAR) || '.wav' END AS filename FROM n""",
+    f"""WITH RECURSIVE {ARRIVING_SQL} SELECT doc_id, source, stem || '.wav' AS original_filename, given || '.wav' AS filename FROM g""",
 )
 def catalog_dedupe_names(spark: SparkSession, sf: str) -> DataFrame:
-    files = documents(spark, sf).select(
-        "doc_id", "source", F.concat("lang", F.lit(".wav")).alias("original_filename")
-    )
+    number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("_"), (F.col("n_chars") % 40 + 1).cast("string"))).otherwise("")
+    stem = F.concat("lang", number, F.when(F.col("doc_id") % 11 == 0, "_1").otherwise(""))
+    files = documents(spark, sf).select("doc_id", "source", F.concat(stem, F.lit(".wav")).alias("original_filename"))
     return C.dedupe_filenames(files, ["source"], "original_filename", "doc_id")
 
 

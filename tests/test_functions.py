@@ -104,8 +104,39 @@ def test_dedupe_skips_taken_suffixes(spark):
     names = ["a.wav", "a.wav", "a_1.wav", "a.wav", "a_3.wav", "a.wav", "b", "b", "a_1.wav"]
     df = spark.createDataFrame([("d", n, k) for k, n in enumerate(names)], "ds string, name string, k long")
     got = {r["k"]: r["filename"] for r in catalog.dedupe_filenames(df, ["ds"], "name", "k").collect()}
-    assert len(set(got.values())) == len(names)
-    assert [got[k] for k in range(8)] == ["a.wav", "a_2.wav", "a_1.wav", "a_4.wav", "a_3.wav", "a_5.wav", "b", "b_1"]
+    assert [got[k] for k in range(9)] == ["a.wav", "a_1.wav", "a_1_1.wav", "a_2.wav", "a_3.wav", "a_4.wav", "b", "b_1", "a_1_2.wav"]
+
+
+def in_turn(names):
+    """Each name as it arrives, against the names given so far."""
+    given = []
+    for name in names:
+        stem, dot, ext = name.partition(".")
+        new, c = name, 1
+        while new in given:
+            new, c = f"{stem}_{c}{dot}{ext}", c + 1
+        given.append(new)
+    return given
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dedupe_in_the_order_of_arrival(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pools = [["a.wav", "a_1.wav", "a_2.wav"], ["a", "a_1", "a_1_1", "a_2", "a_1_1_1", "b", "b_2"], [f"x_{k}.mp3" for k in range(1, 30)] + ["x.mp3"] * 20, ["q.wav"] * 5 + ["q_1.wav", "q_3.wav", "q_2_1.wav"]]
+    sets = [(d, [rng.choice(rng.choice(pools)) for _ in range(rng.choice([1, 7, 60, 200]))]) for d in (None, "d1", "d2", "d3")]
+    sets.append(("all", [rng.choice(pools[2]) for _ in range(300)]))
+    rows, want, k = [], {}, 0
+    for d, names in sets:
+        for name, new in zip(names, in_turn(names)):
+            k += rng.randint(1, 5000)
+            rows.append((d, name, k))
+            want[k] = new
+    df = spark.createDataFrame(rows, "ds string, name string, k long").repartition(4)
+    out = catalog.dedupe_filenames(df, ["ds"], "name", "k")
+    assert {r["k"]: r["filename"] for r in out.collect()} == want
+    assert out.columns == ["ds", "name", "k", "filename"]
 
 
 def test_cohort_checks(spark):
