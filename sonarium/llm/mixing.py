@@ -153,18 +153,21 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """Per row of ``docs (doc_id, text, source)``: ``doc_id, size, source_size, target, taken``.
+    """Per row of ``docs (doc_id, text, source)``: ``doc_id, size, source_size, target, taken, first_slot, slots``.
 
-    Null text: size 0, nothing taken. Null source: a source of its own, last in order. Rows without id, or that repeat an id,
-    are rows of their own; which of several rows with equal id and size comes first does not show in the result. An empty
-    table gives no rows. Extra columns are ignored.
+    ``first_slot`` is the place of the row's first words in the mixed order of blocks that :func:`schedule` gives, ``slots`` the number of
+    blocks that hold words of it, repeats counted; null and 0 for rows the mix takes nothing of. Null text: size 0, nothing taken. Null source: a source of its own, last in order. Rows without id, or that repeat an id,
+    are rows of their own; which of several rows with equal id and size comes first does not show in the result. Very long texts
+    are counted whole and fill many blocks. An empty table gives no rows. Extra columns are ignored.
     """
     placed, pieces = mix(_sized(docs), **settings)
-    taken = pieces.groupBy("key", "at").agg(F.sum("length").alias("words"))
-    words = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0)
+    taken = pieces.groupBy("key", "at").agg(F.sum("length").alias("words"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("slots"))
+    has_words = F.col("size") > 0
+    words = F.when(has_words, F.coalesce("words", F.lit(0))).otherwise(0)
     return placed.join(taken, ["key", "at"], "left").select(
-        "doc_id", "size", "source_size", "target", words.cast("long").alias("taken")
-    )
+        "doc_id", "size", "source_size", "target", words.cast("long").alias("taken"), F.when(has_words, F.col("first_slot")).alias("first_slot"),
+        F.when(has_words, F.coalesce("slots", F.lit(0))).otherwise(0).cast("long").alias("slots"),
+    )
 
 
 def first_words(text: Column, words: Column) -> Column:
@@ -175,9 +178,11 @@ def first_words(text: Column, words: Column) -> Column:
     return F.regexp_replace(cut, SPACE + r"\z", "")
 
 
-def draw_mix(docs: DataFrame, **settings) -> DataFrame:
+def draw_mix(docs: DataFrame, ordered: bool = False, **settings) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: one row per document and epoch, cut to the words that the mix takes.
 
+    With ``ordered`` the rows stand in the order of the schedule, a document where its first block does: every prefix of the corpus
+    then has the sources' shares of words, up to the blocks of the documents begun in it. That takes one more shuffle of the texts.
     Only the document at which a source reaches its target is cut; a column ``n_chars`` follows the text. Documents without words
     are not drawn. Rows that repeat id and text are drawn as often as the schedule takes each of them.
     """
@@ -185,12 +190,13 @@ def draw_mix(docs: DataFrame, **settings) -> DataFrame:
     node = F.struct(F.col("doc_id").alias("d"), F.xxhash64(text).alias("h"))
     sized = docs.select(node.alias("node"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     placed, pieces = mix(sized, **settings)
-    taken = pieces.groupBy("key", "at", "epoch").agg(F.sum("length").alias("words"))
+    taken = pieces.groupBy("key", "at", "epoch").agg(F.sum("length").alias("words"), F.min("slot").alias("slot"))
     drawn = written(
-        placed.filter(F.col("size") > 0).join(taken, ["key", "at"]).select("node", "epoch", "words", "size"), "drawn"
+        placed.filter(F.col("size") > 0).join(taken, ["key", "at"]).select("node", "epoch", "words", "size", "slot"), "drawn"
     )
     rows = docs.select(F.struct(*docs.columns).alias("row"), node.alias("node")).dropDuplicates(["node"])
     both = rows.join(drawn, "node")
+    both = both.orderBy("slot", "node", "epoch") if ordered else both
     changed = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
     new = {"text": changed, "n_chars": F.length(changed).cast("long")}
     return both.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from sonarium.llm.chat import CONTROL, END, NEXT, START, chat_digests, format_ch
 from sonarium.llm.common import table
 from sonarium.llm.compression import score_quality
 from sonarium.llm.media import text_media
-from sonarium.llm.mixing import mixed_documents
+from sonarium.llm.mixing import BLOCK_WORDS, CIRCLE, GOLDEN, mixed_documents
 from sonarium.llm.near_dups import near_duplicates
 from sonarium.llm.packing import pack_documents
 from sonarium.llm.quality import judge
@@ -171,8 +171,21 @@ ORACLES: dict[str, str] = {
     l AS (SELECT arg_min(CAST(rest AS DOUBLE) / CAST(free AS DOUBLE), place) AS level FROM o WHERE weight * (CAST(rest AS DOUBLE) / CAST(free AS DOUBLE)) <= 3 * source_size),
     t AS (SELECT source, source_size, coalesce(least(weight * level, CAST(3 * source_size AS DOUBLE)), 0) AS target FROM w, l),
     q AS (SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS took,
-      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-    SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda e: least(size, greatest(0, took - e * source_size - ahead)))) AS BIGINT) AS taken FROM q""",
+      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, ahead, size, doc_id) AS row FROM q),
+    -- the golden-ratio points fall on the sources' parts of the whole
+    v AS (SELECT source, target, sum(target) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high FROM t),
+    n AS MATERIALIZED (SELECT source, high, coalesce(lag(high) OVER (ORDER BY high, source NULLS FIRST), 0) AS low, CAST(ceil(floor(target + 0.5) / {BLOCK_WORDS}.0) AS BIGINT) AS need FROM v WHERE target >= 0.5),
+    k AS (SELECT slot, CAST((CAST(slot AS HUGEINT) * {GOLDEN}) % {CIRCLE} AS DOUBLE) / CAST({CIRCLE} AS DOUBLE) AS u FROM (SELECT unnest(range((SELECT CAST(sum(need) AS BIGINT) FROM n))) AS slot)),
+    z AS MATERIALIZED (SELECT source, need, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM k JOIN n ON u >= low AND (u < high OR high >= 1 - 1e-12)),
+    h AS (SELECT source, count(*) AS have FROM z GROUP BY source),
+    m AS MATERIALIZED (SELECT source, slot, rank FROM z WHERE rank < need UNION ALL
+      SELECT n.source, (SELECT CAST(sum(need) AS BIGINT) FROM n), unnest(range(coalesce(have, 0), need)) FROM n LEFT JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE coalesce(have, 0) < need),
+    e AS (SELECT row, source, ahead + e * source_size AS begins, least(ahead + e * source_size + size, took) AS ends FROM b, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0),
+    p AS (SELECT row, source, unnest(range(CAST(begins // {BLOCK_WORDS} AS BIGINT), CAST((ends - 1) // {BLOCK_WORDS} AS BIGINT) + 1)) AS rank FROM e WHERE begins < ends),
+    f AS (SELECT row, min(slot) AS first_slot, count(*) AS slots FROM p JOIN m ON p.source IS NOT DISTINCT FROM m.source AND p.rank = m.rank GROUP BY row)
+    SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda e: least(size, greatest(0, took - e * source_size - ahead)))) AS BIGINT) AS taken,
+      first_slot, coalesce(slots, 0) AS slots FROM b LEFT JOIN f USING (row)""",
     "op10_format_chats": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
     m AS (SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS begins FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),

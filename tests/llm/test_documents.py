@@ -1,5 +1,6 @@
 """Operators on documents against plain versions, with nulls, odd texts, repeated rows, empty tables and clashing columns."""
 
+import random
 import collections
 import hashlib
 import itertools
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from support import words
+from support import prose, words
 from pyspark.sql import functions as F
 
 from sonarium.llm import common, mixing, near_dups, packing, quality, secrets, shards
@@ -197,6 +198,25 @@ def test_drawn_texts(docs, corpus):
     assert abs(sum(len(words(r.text)) for r in got) - total) <= len({r[3] for r in corpus})
 
 
+def test_every_prefix_of_the_mix_has_the_weights(spark):
+    """The ordered corpus: after any number of rows no source is farther from its share than the longest texts and a few blocks."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(1, 150)), "en", f"s{min(i % 9, 3)}", 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    drawn = mixing.draw_mix(df, ordered=True).collect()
+    share = {}
+    for r in mixing.mixed_documents(df.select("doc_id", "text", "source")).collect():
+        share[f"s{min(r.doc_id % 9, 3)}"] = r.target
+        assert (r.first_slot is None) == (r.taken == 0) and r.slots >= r.taken / mixing.BLOCK_WORDS
+    whole, taken, sofar = sum(share.values()), collections.Counter(), 0
+    for r in drawn:
+        n = len(words(r.text))
+        taken[r.source] += n
+        sofar += n
+        assert all(abs(taken[s] - share[s] / whole * sofar) <= 150 * len(share) + 8 * mixing.BLOCK_WORDS for s in share)
+    assert sofar > 100_000 and collections.Counter(r.doc_id for r in drawn) == collections.Counter(r.doc_id for r in mixing.draw_mix(df).collect())
+
+
 def test_first_words(spark):
     text = " \n one  two\tthree "
     df = spark.createDataFrame([(text, n) for n in range(1, 5)], "t string, n long")
