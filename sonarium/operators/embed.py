@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +42,18 @@ def pca(df: DataFrame, file: str, vector: str, k: int = 3) -> DataFrame:
     """
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     data = df.filter(whole).select(file, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    if len(data.select(file).limit(2).take(2)) < 2:
+    n, mean = data.select(Summarizer.metrics("count", "mean").summary(F.col("_v")).alias("s")).select("s.*").first()
+    if n < 2:
         return df.select(file, F.array().cast("array<double>").alias("coordinates")).limit(0)
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(data)
-    k = min(k, centre.mean.size)
-    model = PCA(k=k, inputCol="_c", outputCol="_z").fit(centre.transform(data))
+    model = PCA(k=min(k, mean.size), inputCol="_v", outputCol="_z").fit(data)
     axes = model.pc.toArray()
-    signs = [float(s) for s in np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])]
+    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    centre = mean.toArray() @ axes
     turned = F.transform(
-        vector_to_array("_z"), lambda x, i: x * F.get(F.array(*[F.lit(s) for s in signs]), i)
+        vector_to_array("_z"),
+        lambda x, i: (x - F.get(F.lit(centre.tolist()), i)) * F.get(F.lit(signs.tolist()), i),
     )
-    return model.transform(centre.transform(data)).select(file, turned.alias("coordinates"))
+    return model.transform(data).select(file, turned.alias("coordinates"))
 
 
 def spatial_regions(points: DataFrame, x: str, y: str) -> DataFrame:

@@ -26,13 +26,14 @@ ID2LABEL = ("angry", "calm", "fear", "happy")
 NAMES_SQL = "['angry', 'calm', 'fear', 'happy']"
 
 SOFTMAX_SQL = f"""
-e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding[1:5]) AS DOUBLE))) AS e FROM embeddings),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e FROM embeddings),
 p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
 best AS (SELECT vec_id, p, list_position(p, list_max(p)) AS b FROM p)"""
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("logits"))
+    """Whole embeddings as logits; labels beyond the named ones are called by their index."""
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
 
 
 @query(
@@ -54,7 +55,7 @@ def labels_softmax(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "labels_ranked",
     f"""WITH {SOFTMAX_SQL}, l AS (SELECT vec_id, b, i, coalesce({NAMES_SQL}[i], 'emotion_' || CAST(i - 1 AS VARCHAR)) AS label, p[i] AS probability
-      FROM best, range(1, 6) r(i))
+      FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM best))
     SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY probability DESC, label) AS INTEGER) AS rank, label,
       {sql_rnd("probability", 9)} AS probability, label = coalesce({NAMES_SQL}[b], CAST(b - 1 AS VARCHAR)) AS is_predicted FROM l""",
 )
@@ -366,11 +367,30 @@ def profile_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(a) for k, a in enumerate("xyz")])
+    """The plot of all embeddings: the first three principal coordinates of the whole vectors."""
+    reduced = E.pca(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
+    return reduced.select("vec_id", *[F.get("coordinates", F.lit(k)).alias(a) for k, a in enumerate("xyz")])
+
+
+def _axis_sql(k: int) -> str:
+    """The strongest axis of covariance ``c{k}``: repeated squaring leaves one direction, whose share is then taken out."""
+    return f"""s{k} AS (SELECT 0 AS step, m FROM c{k} UNION ALL SELECT step + 1, list_transform(u, lambda r: list_transform(u, lambda c: list_inner_product(r, c)))
+      FROM (SELECT step, list_transform(m, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(m, lambda q, i: q[i])))) AS u FROM s{k} WHERE step < 20)),
+    w{k} AS (SELECT m[list_position(list_transform(m, lambda q, i: q[i]), list_max(list_transform(m, lambda q, i: q[i])))] AS v FROM s{k} WHERE step = 20),
+    n{k} AS (SELECT list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM w{k}),
+    a{k} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM n{k}),
+    e{k} AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS e FROM a{k}, c{k}),
+    c{k + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - e * v[i] * v[j])) AS m FROM c{k}, e{k})"""
 
 
-POINTS_SQL = "pts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+POINTS_SQL = f"""pts AS MATERIALIZED (WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    dims AS (SELECT d, avg(x) AS mean FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM x) GROUP BY d),
+    mean AS (SELECT list(mean ORDER BY d) AS mu FROM dims),
+    z AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x, i: x - mu[i]) AS v FROM x, mean),
+    cols AS (SELECT d, list(x ORDER BY vec_id) AS col FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM z) GROUP BY d),
+    cells AS (SELECT a.d AS i, list(list_inner_product(a.col, b.col) / len(a.col) ORDER BY b.d) AS r FROM cols a, cols b GROUP BY a.d),
+    c1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM cells), {_axis_sql(1)}, {_axis_sql(2)}, {_axis_sql(3)}
+    SELECT vec_id, list_inner_product(z.v, a1.v) AS x, list_inner_product(z.v, a2.v) AS y, list_inner_product(z.v, a3.v) AS z FROM z, a1, a2, a3)"""
 
 
 @query(
@@ -382,16 +402,19 @@ def embed_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.select("label", F.posexplode("embedding").alias("dim", "value")).withColumn("value", rnd("value", 9))
 
 
-@query("embed_rows", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings WHERE len(embedding) > 0")
+@query(
+    "embed_rows",
+    """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value
+    FROM embeddings WHERE len(embedding) > 0""",
+)
 def embed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return E.embedding_rows(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", "dimension")
+    rows = E.embedding_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return rows.select("vec_id", "dimension", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-# an eigenproblem has no SQL form; pytest checks it against a singular value decomposition
-@query("embed_pca")
+@query("embed_pca", f"WITH {POINTS_SQL} SELECT vec_id, {', '.join(f'{sql_rnd(a, 9)} AS {a}' for a in 'xyz')} FROM pts")
 def embed_pca(spark: SparkSession, sf: str) -> DataFrame:
-    reduced = E.pca(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
-    return reduced.select("vec_id", *[rnd(F.get("coordinates", F.lit(k)), 9).alias(a) for k, a in enumerate("xyz")])
+    return points(spark, sf).select("vec_id", *[rnd(a, 9).alias(a) for a in "xyz"])
 
 
 @query(

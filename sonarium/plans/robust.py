@@ -117,16 +117,16 @@ def robust_finish(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str, factor: float) -> DataFrame:
-    """Labels from the first five embedding values, scaled, with the sign of the second turned for the perturbed copy."""
+    """Labels from the embedding as logits, scaled, with the sign of the second value turned for the perturbed copy."""
     scaled = F.transform(
-        F.slice("embedding", 1, 5), lambda x, i: x.cast("double") * factor * F.when((i == 1) & F.lit(factor != 1), -1).otherwise(1)
+        "embedding", lambda x, i: x.cast("double") * factor * F.when((i == 1) & F.lit(factor != 1), -1).otherwise(1)
     )
     return predict_labels(table(spark, sf, "embeddings").select("vec_id", scaled.alias("logits")), "logits", ID2LABEL)
 
 
 def probs_sql(name: str, factor: float) -> str:
     turned = "" if factor == 1 else " * CASE WHEN i = 2 THEN -1 ELSE 1 END"
-    return f"""{name}_l AS (SELECT vec_id, list_transform(embedding[1:5], lambda x, i: x::DOUBLE * {factor}{turned}) AS l FROM embeddings),
+    return f"""{name}_l AS (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE * {factor}{turned}) AS l FROM embeddings),
 {name}_e AS (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM {name}_l),
 {name} AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, list_position(e, list_max(e)) AS b FROM {name}_e)"""
 
@@ -136,7 +136,7 @@ BOTH_SQL = f"{probs_sql('a', 1)}, {probs_sql('z', 3)}"
 
 @query(
     "robust_probability_shift",
-    f"""WITH {BOTH_SQL}, s AS (SELECT vec_id, coalesce({NAMES_SQL}[k], 'emotion_4') AS label, (z.p[k] - a.p[k]) * 100 AS shift FROM a JOIN z USING (vec_id), range(1, 6) r(k))
+    f"""WITH {BOTH_SQL}, s AS (SELECT vec_id, coalesce({NAMES_SQL}[k], 'emotion_' || CAST(k - 1 AS VARCHAR)) AS label, shift FROM (SELECT vec_id, unnest(range(1, len(a.p) + 1)) AS k, unnest(list_transform(z.p, lambda v, i: (v - a.p[i]) * 100)) AS shift FROM a JOIN z USING (vec_id)))
     SELECT vec_id, label, {sql_rnd('shift')} AS shift, abs(shift) > 1 AS significant, CASE WHEN shift > 0 THEN 'up' WHEN shift < 0 THEN 'down' ELSE 'same' END AS direction FROM s""",
 )
 def robust_probability_shift(spark: SparkSession, sf: str) -> DataFrame:

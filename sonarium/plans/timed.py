@@ -281,7 +281,7 @@ def attention_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return A.attention_matrix(pairs).withColumn("w", rnd("w", 9))
 
 
-#: Turns of the longest conversation.
+#: Columns of the grid in SQL, which cannot take them from the table; with longer conversations the schemas differ.
 TURNS = 8
 
 
@@ -290,8 +290,11 @@ TURNS = 8
     f"""WITH {CELLS_SQL} SELECT clip, from_index, {', '.join(sql_rnd(f"coalesce(max(attention_weight) FILTER (to_index = {k}), 0)", 9) + f' AS to_{k}' for k in range(TURNS))} FROM pairs GROUP BY clip, from_index""",
 )
 def attention_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = A.attention_grid(A.attention_pairs(chunks(spark, sf), matrix(spark, sf)), range(TURNS))
-    return grid.select("clip", "from_index", *[rnd(f"to_{k}", 9).alias(f"to_{k}") for k in range(TURNS)])
+    pairs = A.attention_pairs(chunks(spark, sf), matrix(spark, sf))
+    longest = table(spark, sf, "conversations").agg(F.max("turn")).first()[0]
+    shown = range(0 if longest is None else longest + 1)
+    grid = A.attention_grid(pairs, shown)
+    return grid.select("clip", "from_index", *[rnd(f"to_{k}", 9).alias(f"to_{k}") for k in shown])
 
 
 @query(
