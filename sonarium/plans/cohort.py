@@ -14,10 +14,11 @@ from sonarium.operators import labels as B
 from sonarium.operators import lookup as L
 from sonarium.operators import profile as P
 from sonarium.operators import results as M
+from sonarium.operators import selections as S
 from sonarium.operators.terms import term_counts, term_tokens, top_terms
 from sonarium.plans.registry import query, rnd, sql_rnd, table
 from sonarium.plans.text import SQL_TOKENS
-from sonarium.session import shared_dir
+from sonarium.session import settle, shared_dir
 from sonarium.sources.results import ResultLog
 
 # --- labels -------------------------------------------------------------------------------------------------------------
@@ -480,6 +481,41 @@ def embed_axis_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return bounds.select(*[rnd(c, 9).alias(c) for c in bounds.columns])
 
 
+# Shapes around the plotted points themselves: an L of six corners for every fifth point, a box for the point after it.
+CORNERS = ((-0.5, -0.6), (1.5, -0.6), (1.5, 0.4), (0.5, 0.4), (0.0, 1.4), (-0.5, 1.4))
+
+SHAPES_SQL = f"""sh AS (SELECT vec_id AS selection, x AS mx, y AS my, 0.02::DOUBLE * (1 + vec_id % 7) AS r, vec_id % 5 = 1 AS is_box FROM pts WHERE vec_id % 5 < 2),
+ring AS (SELECT *, [{", ".join(f"{{'x': mx + {x}::DOUBLE * r, 'y': my + {y}::DOUBLE * r}}" for x, y in CORNERS)}] AS ring FROM sh),
+edge AS (SELECT *, list_transform(ring, lambda p, i: {{'x0': p.x, 'y0': p.y, 'x1': ring[i % 6 + 1].x, 'y1': ring[i % 6 + 1].y}}) AS e FROM ring),
+hit AS (SELECT selection, vec_id FROM edge JOIN pts ON CASE WHEN is_box THEN x BETWEEN mx - r AND mx + r AND y BETWEEN my - 2 * r AND my + 2 * r
+  ELSE len(list_filter(e, lambda d: (d.y0 > y) <> (d.y1 > y) AND x < d.x0 + (y - d.y0) * ((d.x1 - d.x0) / (d.y1 - d.y0)))) % 2 = 1 END)"""
+
+
+def shapes(plotted: DataFrame) -> DataFrame:
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    sized = plotted.filter("vec_id % 5 < 2").withColumn("r", 0.02 * (1 + F.col("vec_id") % 7))
+    outline = F.array(*[F.struct((x + a * r).alias("x"), (y + b * r).alias("y")) for a, b in CORNERS])
+    boxed = F.col("vec_id") % 5 == 1
+    ring = F.when(boxed, S.box_ring(x - r, y - 2 * r, x + r, y + 2 * r)).otherwise(outline)
+    return sized.select(F.col("vec_id").alias("selection"), ring.alias("ring"), boxed.alias("is_box"))
+
+
+@query("embed_select_many", f"WITH {POINTS_SQL}, {SHAPES_SQL} SELECT selection, vec_id FROM hit")
+def embed_select_many(spark: SparkSession, sf: str) -> DataFrame:
+    plotted = settle(points(spark, sf))
+    return S.select_many(plotted, shapes(plotted), "vec_id", "x", "y")
+
+
+@query(
+    "embed_many_labels",
+    f"""WITH {POINTS_SQL}, {SHAPES_SQL}, c AS (SELECT selection, label, count(*) AS n FROM hit JOIN embeddings USING (vec_id) GROUP BY ALL)
+    SELECT selection, label, n AS "count", {sql_rnd("n / sum(n) OVER (PARTITION BY selection)")} AS share FROM c""",
+)
+def embed_many_labels(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    return S.select_groups(embed_select_many(spark, sf), labels, "vec_id", "label").withColumn("share", rnd("share"))
+
+
 BOX_SQL = "SELECT vec_id FROM pts WHERE x BETWEEN -0.1 AND 0.05 AND y BETWEEN 0.0 AND 0.2"
 
 
