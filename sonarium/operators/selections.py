@@ -76,7 +76,9 @@ def cover_shapes(shapes: DataFrame, bounds: DataFrame) -> DataFrame:
     grid = bounds.select(F.struct("x_low", "y_low", "x_size", "y_size")).scalar()
     box = F.struct(*[end(F.col(f"ring.{n}")).alias(f"{n}_{m}") for n in "xy" for m, end in (("low", F.array_min), ("high", F.array_max))])
     zero = F.lit(0)
-    dealt = shapes.filter(usable).select("selection", "ring", "is_box").repartition(F.xxhash64("selection", "ring"))
+    # by a fixed number, as adaptive execution would put few shapes with many cells into one task
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shapes.filter(usable).select("selection", "ring", "is_box").repartition(tasks, F.xxhash64("selection", "ring"))
     cells = dealt.select(
         "selection", F.when(F.col("is_box"), box).alias("box"), _edges(F.col("ring")).alias("edges"), grid.alias("grid"),
         zero.alias("level"), zero.alias("cx"), zero.alias("cy"), F.lit(False).alias("inside"),
