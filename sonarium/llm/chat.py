@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.common import let
+from sonarium.llm.common import let, prefix_sums
+
+#: Characters of the chunks in which runs of a text are looked up.
+CHUNK = 1024
 
 START, NEXT, END = "<|start|>", "<|next|>", "<|end|>"
 
@@ -96,7 +99,8 @@ def format_chats(turns: DataFrame, learned: str = "assistant") -> DataFrame:
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Read ``conv_id, turns array<struct<role, text>>, learned array<string>`` back from the text and its mask.
 
-    The turns come from the markers alone, the learned texts from the mask alone.
+    The turns come from the markers alone, the learned texts from the mask alone. A place of a text is found by counting its characters
+    from the start, so the text is cut into chunks once and a run looks only into its own: work grows with the text and its turns.
     """
 
     def turns(block: Column) -> Column:
@@ -109,20 +113,20 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         )
 
     blocks = F.slice(F.split("formatted", _literal(START)), F.lit(2), F.size(F.split("formatted", _literal(START))))
-    places = F.aggregate(
-        "mask",
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,chars:bigint>>").alias("spans")),
-        lambda state, run: F.struct(
-            (state.at + run.chars).alias("at"),
-            F.when(run.loss, F.concat(state.spans, F.array(F.struct(state.at.alias("at"), run.chars.alias("chars")))))
-            .otherwise(state.spans)
-            .alias("spans"),
-        ),
-    ).spans
+    def learned(chunks: Column) -> Column:
+        def cut(span: Column) -> Column:
+            first, last = (F.floor(place / CHUNK).cast("int") for place in (span.at, span.at + span.chars))
+            near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+            return unescape(F.substr(near, (span.at % CHUNK + 1).cast("int"), span.chars.cast("int")))
+
+        starts = prefix_sums(F.transform("mask", lambda run: run.chars))
+        spans = let(starts, lambda at: F.transform("mask", lambda run, i: F.struct(F.get(at, i).alias("at"), run.chars.alias("chars"), run.loss.alias("loss"))))
+        return F.transform(F.filter(spans, lambda span: span.loss), cut)
+
     return formatted.select(
         "conv_id",
         F.flatten(F.transform(blocks, turns)).alias("turns"),
-        F.transform(places, lambda s: unescape(F.substr("formatted", s.at.cast("int"), s.chars.cast("int")))).alias("learned"),
+        let(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), learned).alias("learned"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -33,6 +33,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def prefix_sums(values: Column, run: int = 128) -> Column:
+    """Sum of the earlier elements for each element of an array, by sums of whole runs of elements and of the rest of one run."""
+
+    def add(of: Column, low: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(of, low + 1, n), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def over(each: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), F.floor(F.size(each) / run).cast("int")), lambda r: add(each, r * run, F.lit(run)))
+        before = let(totals, lambda t: F.transform(t, lambda _, r: add(t, F.lit(0), r)))
+        return let(before, lambda b: F.transform(each, lambda _, i: F.get(b, F.floor(i / run).cast("int")) + add(each, i - i % run, i % run)))
+
+    return let(values, over)
+
+
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], share: int = 1000) -> DataFrame:
     """Left-join one row per key; ``side`` has a column ``_rows``, the number of rows of ``df`` with that key.
 
