@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from sonarium.functions.labels import probability_map, softmax, top_label
 
 
-def predict_labels(df: DataFrame, logits: str, id2label: Sequence[str]) -> DataFrame:
-    """Adds ``probabilities`` (map), ``predicted_label`` and ``confidence``; a row without logits gets the fallback."""
-    failed = F.col(logits).isNull() | (F.size(logits) == 0)
+def predict_labels(df: DataFrame, logits: str, id2label: Sequence[str], error: str | None = None) -> DataFrame:
+    """Adds ``probabilities`` (map), ``predicted_label``, ``confidence``, ``fallback`` and ``error``.
+
+    A row without logits, or with a text in the column ``error``, gets the fallback; its error is that text, else "no logits".
+    """
+    told = F.col(error) if error else F.lit(None).cast("string")
+    failed = F.col(logits).isNull() | (F.size(logits) == 0) | told.isNotNull()
     probs = F.when(~failed, softmax(F.col(logits)))
     return (
         df.withColumn("_p", probs)
@@ -24,7 +28,7 @@ def predict_labels(df: DataFrame, logits: str, id2label: Sequence[str]) -> DataF
                 ),
                 "confidence": F.when(failed, F.lit(0.0)).otherwise(F.array_max("_p")),
                 "fallback": failed,
-                "error": F.when(failed, F.lit("no logits")),
+                "error": F.when(failed, F.coalesce(told, F.lit("no logits"))),
             }
         )
         .drop("_p")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType
+from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
 from sonarium.functions.fixed import SHORT_TTL, TTL_BY_KIND
 from sonarium.functions.rows import literal_map
@@ -94,6 +95,48 @@ def score(df: DataFrame, model: str | Callable, features: Sequence[str], out: st
     return scored.withColumn(out, F.when(~F.isnan(out), F.col(out))) if single else scored
 
 
+def score_or_error(
+    df: DataFrame, model: str | Callable, features: Sequence[str], out: str, out_type: DataType, error: str = "error"
+) -> DataFrame:
+    """Score rows in Arrow batches and keep the model's own error text of each row it fails on.
+
+    A failing batch is tried again row by row, so a bad row costs only itself; its ``out`` is null. A model that cannot be loaded gives
+    its error to every row. Rows without an error have a null ``error``; an exception without a text gives its name. Scores that are NaN
+    are kept as the model gave them.
+    """
+    make = MODELS[model] if isinstance(model, str) else model
+
+    def told(e: Exception) -> str:
+        return str(e) or type(e).__name__
+
+    @F.pandas_udf(StructType([StructField("out", out_type), StructField("error", StringType())]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        try:
+            predict, broken = make(), None
+        except Exception as e:
+            predict, broken = None, told(e)
+
+        def attempt(inputs: list[np.ndarray]) -> tuple[list, list]:
+            n = len(inputs[0])
+            if broken is not None:
+                return [None] * n, [broken] * n
+            try:
+                return list(predict(*inputs)), [None] * n
+            except Exception as e:
+                if n == 1:
+                    return [None], [told(e)]
+            each = [attempt([x[k : k + 1] for x in inputs]) for k in range(n)]
+            return [s for scores, _ in each for s in scores], [t for _, texts in each for t in texts]
+
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            scores, texts = attempt([c.to_numpy() for c in columns]) if len(columns[0]) else ([], [])
+            yield pd.DataFrame({"out": pd.Series(scores, dtype=object), "error": pd.Series(texts, dtype=object)})
+
+    scored = df.withColumn("_scored", run(*[F.col(f) for f in features]))
+    return scored.withColumns({out: F.col("_scored.out"), error: F.col("_scored.error")}).drop("_scored")
+
+
 def score_missing(
     df: DataFrame, results: DataFrame, key: str, model: str | Callable, features: Sequence[str], out: str, out_type: DataType,
     batch: int = 1024, input_shapes: list | None = None, no_cache: bool = False,

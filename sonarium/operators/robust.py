@@ -30,7 +30,7 @@ def _step(kind: str, given: dict, wave: Column, clip: Column, rate: Column, seed
     return mask_band(wave, rate, given["mask_freq_start"], given["mask_freq_end"], two_sided)
 
 
-def _outcome(kind: str, params: dict[str, float], status: str, error: str | None) -> Column:
+def _outcome(kind: str, params: dict[str, float], status: str | Column, error: str | Column | None) -> Column:
     pairs = [F.lit(x) for k, v in params.items() for x in (k, float(v))]
     as_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
     return F.struct(
@@ -44,9 +44,13 @@ def perturb_chain(
 ) -> DataFrame:
     """Apply ``[{type, params}]`` in order, each to the result of the one before, and record what became of each.
 
-    Status is applied, unsupported (unknown type, pitch shift, time stretch) or failed (a parameter that is no number).
+    Status is applied, unsupported (unknown type, pitch shift, time stretch) or failed: for all files if a parameter is no number, and for the
+    files a step cannot work on (no samples, or no positive rate where frequencies count). A failed step leaves the file's wave as it was.
     """
-    out, outcomes = df, []
+    # a step changes neither the presence of samples nor the rate, so both are settled before the first one
+    silent = F.when(F.col(wave).isNull() | (F.size(wave) == 0), "no samples")
+    out = df.withColumns({"_no_samples": silent, "_no_rate": silent.when(F.col(rate).isNull() | (F.col(rate) <= 0), "no sample rate")})
+    outcomes = []
     for number, spec in enumerate(specs):
         kind, given = spec.get("type"), dict(spec.get("params") or {})
         if kind not in PARAMETERS:
@@ -58,11 +62,14 @@ def perturb_chain(
         except (TypeError, ValueError) as e:
             outcomes.append(_outcome(kind, {}, "failed", str(e)))
             continue
-        changed = _step(kind, filled, F.col(wave), F.col(clip), F.col(rate), seed + number, floor, two_sided)
-        out = out.withColumn(wave, changed)
-        outcomes.append(_outcome(kind, filled, "applied", None))
+        reason = F.col("_no_rate" if kind == "frequency_masking" else "_no_samples")
+        # a Python step is given every row, so it gets no rate and no wave where it cannot work
+        able_wave, able_rate = (F.when(reason.isNull(), F.col(c)) for c in (wave, rate))
+        changed = _step(kind, filled, able_wave, F.col(clip), able_rate, seed + number, floor, two_sided)
+        out = out.withColumn(wave, F.when(reason.isNull(), changed).otherwise(F.col(wave)))
+        outcomes.append(_outcome(kind, filled, F.when(reason.isNull(), "applied").otherwise("failed"), reason))
     empty = "array<struct<type:string,params:map<string,double>,status:string,error:string>>"
-    return out.withColumn("applied_perturbations", F.array(*outcomes).cast(empty))
+    return out.withColumn("applied_perturbations", F.array(*outcomes).cast(empty)).drop("_no_samples", "_no_rate")
 
 
 def finish_perturbed(df: DataFrame, path: str, wave: str = "wave", rate: str = "rate") -> DataFrame:

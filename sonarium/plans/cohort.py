@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sonarium.functions import rows as R
 from sonarium.functions.fixed import TTL_BY_KIND
@@ -79,6 +79,34 @@ def labels_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def picky_scorer():
+    """A model that doubles a vector and refuses those that begin below zero, by their first value."""
+
+    def predict(vectors: np.ndarray) -> list:
+        for v in vectors:
+            if v[0] < 0:
+                raise ValueError(f"first value is {round(float(v[0]) * 1000)} thousandths")
+        return [2.0 * np.asarray(v, dtype=np.float64) for v in vectors]
+
+    return predict
+
+
+@query(
+    "labels_scorer_errors",
+    f"""WITH l AS (SELECT vec_id, embedding[1] < 0 AS bad, 'first value is ' || CAST(CAST(round_even(CAST(embedding[1] AS DOUBLE) * 1000, 0) AS BIGINT) AS VARCHAR) || ' thousandths' AS told,
+      list_transform(embedding, lambda x: 2 * CAST(x AS DOUBLE)) AS l FROM embeddings),
+    e AS (SELECT *, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l), p AS (SELECT *, list_position(e, list_max(e)) AS b FROM e)
+    SELECT vec_id, CASE WHEN bad THEN 'unknown' ELSE coalesce({NAMES_SQL}[b], CAST(b - 1 AS VARCHAR)) END AS predicted_label,
+      CASE WHEN bad THEN 0.0 ELSE {sql_rnd("e[b] / list_sum(e)", 9)} END AS confidence, bad AS fallback, CASE WHEN bad THEN told END AS error FROM p""",
+)
+def labels_scorer_errors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    scored = M.score_or_error(rows, picky_scorer, ["embedding"], "logits", ArrayType(DoubleType()), "told")
+    return B.predict_labels(scored, "logits", ID2LABEL, "told").select(
+        "vec_id", "predicted_label", rnd("confidence", 9).alias("confidence"), "fallback", "error"
+    )
+
+
 @query(
     "labels_distribution",
     f"""SELECT event_type AS label, count(*) AS "count", {sql_rnd("count(*) / (SELECT count(*) FROM events)")} AS share FROM events GROUP BY 1""",
