@@ -345,12 +345,15 @@ def judge_candidates(docs: DataFrame, labelled: DataFrame | None = None, path: s
     counts = written(word_counts(keyed), "words")
     dictionary = _most_frequent(counts, DICTIONARY_WORDS)
     found = written(candidates(keyed), "places")
-    rows = written(with_features(found, dictionary, counts), "candidates")
     if labelled is None:
+        planted = written(planted_findings(found, most), "planted")
+        # real and planted candidates in one pass, so that the words of the corpus are joined once
+        both = written(with_features(found.unionByName(planted, allowMissingColumns=True), dictionary, counts), "candidates")
+        rows = both.filter(F.col("secret").isNull()).drop("secret")
         sure = rows.withColumn("secret", rule_labels()).filter(F.col("secret").isNotNull())
-        planted = written(with_features(planted_findings(found, most), dictionary, counts), "planted")
-        model = train(sure, most // 2, planted)
+        model = train(sure, most // 2, both.filter(F.col("secret").isNotNull()))
     else:
+        rows = written(with_features(found, dictionary, counts), "candidates")
         model = train(with_features(labelled, dictionary, counts), most)
     if model is None:
         scored = rows.withColumn("probability", F.coalesce(rule_labels(), F.lit(0.0)))
