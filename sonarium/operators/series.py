@@ -115,23 +115,19 @@ def window_sums(series: DataFrame, back: Column, ahead: Column, bits: int = BLOC
     parts = cut.groupBy("clip", "_w", "_blk").agg(
         F.sum("x").alias("_s"), F.max(F.floor((F.col("_n") - 1) / wide)).alias("_last")
     )
-    stretch = Window.partitionBy("clip", "_w").orderBy("_blk")
+    # sums towards the end run over the falling order: a frame that ends at unboundedFollowing is added up anew for every row
+    stretch, falling = Window.partitionBy("clip", "_w").orderBy("_blk"), Window.partitionBy("clip", "_w").orderBy(F.desc("_blk"))
     side = parts.select(
         "clip",
         "_w",
         "_blk",
         F.coalesce(F.sum("_s").over(stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
-        F.coalesce(F.sum("_s").over(stretch.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_after"),
+        F.coalesce(F.sum("_s").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_after"),
         F.sum(F.when(F.col("_w") == F.col("_last"), F.col("_s"))).over(Window.partitionBy("clip")).alias("_tail"),
     )
     placed = match_keys(cut, side, ["clip", "_w", "_blk"], keep="_g")
-    inside = Window.partitionBy("_g").orderBy("i")
-    summed = placed.withColumns(
-        {
-            "_up": F.col("_before") + F.sum("x").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_down": F.col("_after") + F.sum("x").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
+    up, down = (Window.partitionBy("_g").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in ("i", F.desc("i")))
+    summed = placed.withColumns({"_up": F.col("_before") + F.sum("x").over(up), "_down": F.col("_after") + F.sum("x").over(down)})
     nothing = F.lit(None).cast("double")
 
     def send(target: Column, x: Column, up: Column, down: Column) -> Column:

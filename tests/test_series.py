@@ -52,6 +52,14 @@ def test_smoothing_stays_local(spark):
         np.testing.assert_allclose(late, [y[max(0, i - 3) : i + 1].mean() for i in range(400)], rtol=1e-12, atol=1e-12)
 
 
+@pytest.mark.parametrize("smooth", [S.smooth_centered, S.smooth_trailing])
+def test_smoothing_adds_up_each_sample_once(spark, smooth):
+    """No window frame reaches to the end of its partition: Spark adds such a frame up anew for every row, quadratic in a block."""
+    series = spark.range(3000).select(F.lit("c").alias("clip"), F.col("id").alias("i"), F.sin("id").alias("x"))
+    plan = smooth(series, bits=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$()" in plan and "unboundedfollowing$()" not in plan.replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+
+
 @pytest.mark.parametrize("strength", [0.0, 0.5, 1.0])
 def test_smooth_trailing(waves, strength):
     arrays, df = waves
