@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,32 @@ PATCH = StructType([StructField("seq", LongType()), StructField("value", StringT
 
 _LEAST = -(1 << 63)
 
+Touch = tuple[int, int, int]
+
+
+def _by_step(at: np.ndarray, seq: np.ndarray, step_us: int) -> Iterator[tuple[int, int, int, int]]:
+    """``step, low, high, seq``: the first and last touch and the least command of each step of time."""
+    order = np.argsort(at, kind="stable")
+    at, seq = at[order], seq[order]
+    step = at // step_us
+    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    ends = np.r_[starts[1:], len(step)] - 1
+    yield from zip(step[starts].tolist(), at[starts].tolist(), at[ends].tolist(), map(int, np.fmin.reduceat(seq, starts)))
+
+
+def _merged(touch: Sequence[int], other: Touch | None) -> Touch:
+    low, high, seq = touch
+    return (low, high, seq) if other is None else (min(low, other[0]), max(high, other[1]), min(seq, other[2]))
+
 
 class QueueState(StatefulProcessor):
-    """One session's state: when its present life began, its touches by time step, and the last value of each progress key.
+    """One session's state: when its present life began, that life's stretch of touches, and the last value of each progress key.
 
     Rows of a batch are taken piece by piece, in whatever order the shuffle brings them, and nothing is kept of a piece but its touches:
-    one entry per step of at most an hour, inside which no break can lie. When the batch is through, the breaks between steps, together with those of earlier batches, say where the
-    life began. Items pass on to the sink at once, so the state does not grow with the queue.
+    one entry per step of at most an hour, inside which no break can lie. When the batch is through, the breaks between steps say where the
+    life began. Touches after the last break have no break between them, and later ones can only fill gaps, so they are stored as one entry:
+    the first step with its commands, and the newest touch. A session calls its state a fixed number of times a batch, and once or twice per
+    progress key that moved. Items pass on to the sink at once, so the state does not grow with the queue.
     """
 
     def __init__(self, ttl_s: int = SESSION_TTL):
@@ -54,41 +74,45 @@ class QueueState(StatefulProcessor):
         held = self.life.get()
         first, touched, final = held if held else (None, _LEAST, _LEAST)
         begun = first
+        steps: dict[int, Touch] = {}
         patches: dict[str, tuple[int, str]] = {}
         for piece in rows:
             at = piece["at"].astype("datetime64[us, UTC]" if piece["at"].dt.tz else "datetime64[us]").astype("int64")
-            cleared = piece.loc[piece["op"] == "clear", "seq"]
+            op, seq = piece["op"].to_numpy(), piece["seq"].to_numpy()
+            cleared = seq[op == "clear"]
             if len(cleared):
-                first = max(int(cleared.max()) + 1, _LEAST if first is None else first)
-            steps = pd.DataFrame({"step": at // self.step_us, "at": at, "seq": piece["seq"]}).groupby("step")
-            for step, low, high, seq in steps.agg(low=("at", "min"), high=("at", "max"), seq=("seq", "min")).itertuples():
-                now = self.touches.getValue((int(step),)) if self.touches.containsKey((int(step),)) else (low, high, seq)
-                self.touches.updateValue((int(step),), (min(int(low), now[0]), max(int(high), now[1]), min(int(seq), now[2])))
-            touched, final = max(int(at.max()), touched), max(int(piece["seq"].max()), final)
-            last = piece[piece["op"] == "progress"].sort_values("seq").drop_duplicates("key", keep="last")
-            for name, seq, value in last[["key", "seq", "value"]].itertuples(index=False):
-                if name not in patches or patches[name][0] < seq:
-                    patches[name] = (int(seq), value)
-            added = piece.loc[piece["op"] == "add", ["op", "seq", "key", "value"]]
-            if len(added):
-                yield added.assign(session_id=key[0])[[f.name for f in QUEUE_OUT.fields]]
-        first = self._life_from_breaks(first)
+                first = max(int(np.fmax.reduce(cleared)) + 1, _LEAST if first is None else first)
+            for step, *touch in _by_step(at.to_numpy(), seq, self.step_us):
+                steps[step] = _merged(touch, steps.get(step))
+            touched, final = max(int(at.max()), touched), max(int(np.fmax.reduce(seq)), final)
+            last: dict[str, tuple[int, str]] = {}
+            moving = op == "progress"
+            for name, number, value in zip(piece["key"].to_numpy()[moving], seq[moving].tolist(), piece["value"].to_numpy()[moving]):
+                if name not in last or last[name][0] <= number:
+                    last[name] = (int(number), value)
+            for name, patch in last.items():
+                if name not in patches or patches[name][0] < patch[0]:
+                    patches[name] = patch
+            adding = op == "add"
+            if adding.any():
+                yield piece.loc[adding, ["op", "seq", "key", "value"]].assign(session_id=key[0])[QUEUE_OUT.names]
+        first = self._life_from_breaks(first, steps, held is not None)
         self.life.update((first, touched, final))
+        changes = []
         if first != begun:
             # progress of an earlier life is forgotten
-            for (name,), (seq, _) in list(self.progress.iterator()):
+            for (name,), (seq, _) in list(self.progress.iterator()) if held else ():
                 if first is not None and seq < first:
                     self.progress.removeKey((name,))
-            yield self._rows(key, [("life", first, None, None)])
-        moved = []
+            changes.append(("life", first, None, None))
         for name, (seq, value) in patches.items():
-            known = self.progress.getValue((name,)) if self.progress.containsKey((name,)) else None
+            known = self.progress.getValue((name,)) if held and self.progress.containsKey((name,)) else None
             if (first is None or seq >= first) and (known is None or known[0] < seq):
                 self.progress.updateValue((name,), (seq, value))
-                moved.append(("progress", seq, name, value))
-        if moved:
-            yield self._rows(key, moved)
-        for timer in list(self.handle.listTimers()):
+                changes.append(("progress", seq, name, value))
+        if changes:
+            yield self._rows(key, changes)
+        for timer in list(self.handle.listTimers()) if held else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max((touched + self.ttl_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 
@@ -103,14 +127,25 @@ class QueueState(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _life_from_breaks(self, first: int | None) -> int | None:
-        """The life's first command after the last break; steps before that break are dropped."""
-        steps = sorted((k[0], *v) for k, v in self.touches.iterator())
-        for i in range(len(steps) - 1, 0, -1):
-            if steps[i][1] - steps[i - 1][2] >= self.ttl_us:
-                for step, *_ in steps[:i]:
+    def _life_from_breaks(self, first: int | None, steps: dict[int, Touch], held: bool) -> int | None:
+        """The life's first command after the last break; what touched it since is stored as one entry."""
+        known = {step: touch for (step,), touch in list(self.touches.iterator())} if held else {}
+        for step, touch in known.items():
+            steps[step] = _merged(touch, steps.get(step))
+        start, newest = None, _LEAST
+        for step in sorted(steps):
+            low, high, seq = steps[step]
+            if start is None:
+                start = step
+            elif low - newest >= self.ttl_us:
+                start = step
+                first = max(seq, first if first is not None else seq)
+            newest = max(newest, high)
+        if start is not None:
+            for step in known:
+                if step != start:
                     self.touches.removeKey((step,))
-                return max(steps[i][3], first if first is not None else steps[i][3])
+            self.touches.updateValue((start,), (steps[start][0], newest, steps[start][2]))
         return first
 
     def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
@@ -123,7 +158,7 @@ def queue_stream(commands: DataFrame, delay: str = "24 hours", ttl_s: int = SESS
 
     ``commands`` has a time ``at`` that does not fall along ``seq``. :func:`queue_now` and :func:`progress_now` read the present state from the
     table the stream was written to; it is the same however the stream was cut into batches. A session's state is one value, one
-    entry per hour of its present life and one per progress key; it goes once the watermark has passed the last touch by the lifetime.
+    entry for the touches of its present life and one per progress key; it goes once the watermark has passed the last touch by the lifetime.
     Needs the RocksDB state store (:func:`sonarium.session.build_session` sets it).
     """
     return (

@@ -111,3 +111,69 @@ def test_pieces_of_a_batch_in_any_order(spark, tmp_path):
     changes = spark.read.schema(sessions.QUEUE_OUT).parquet(out)
     assert {tuple(r) for r in sessions.queue_now(changes).collect()} == plain(rows)[0]
     assert {tuple(r) for r in sessions.progress_now(changes).collect()} == plain(rows)[1]
+
+
+class CountedState:
+    """A session's state in a dict, with the number of calls it got; every call is a round trip from Python to the JVM."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, [], {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"listTimers": lambda: list(self.timers), "deleteTimer": lambda t: self.timers.remove(t), "registerTimer": lambda t: self.timers.append(t)}[name](*args)
+
+        return call
+
+    def getValueState(self, name, schema):
+        return CountedValue(self, name)
+
+    def getMapState(self, name, key, value):
+        return CountedValue(self, name)
+
+
+class CountedValue:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+        state.held.setdefault(name, {})
+
+    def __getattr__(self, call):
+        mine = self.state.held[self.name]
+
+        def counted(*args):
+            self.state.calls += 1
+            forms = {
+                "get": lambda: mine.get(()), "update": lambda v: mine.update({(): v}), "iterator": lambda: iter(list(mine.items())), "containsKey": lambda k: k in mine,
+                "getValue": lambda k: mine.get(k), "updateValue": lambda k, v: mine.update({k: v}), "removeKey": lambda k: mine.pop(k), "clear": mine.clear,
+            }
+            return forms[call](*args)
+
+        return counted
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 7])
+def test_calls_to_the_state_do_not_grow_with_the_touches(cuts):
+    import pandas as pd
+
+    rng = random.Random(cuts)
+    rows = [(k, rng.choice(["add", "progress"]), rng.choice("ab"), f"v{k}", START + dt.timedelta(hours=k + (30 if k >= 100 else 0))) for k in range(300)]
+    frame = pd.DataFrame(rows, columns=["seq", "op", "key", "value", "at"])
+    state = CountedState()
+    out, size = [], -(-len(rows) // cuts)
+    for k in range(cuts):
+        batch = frame.iloc[k * size : (k + 1) * size].sample(frac=1, random_state=k)
+        fold = sessions.QueueState()
+        fold.init(state)
+        before = state.calls
+        out += fold.handleInputRows((1,), iter([batch.iloc[:40], batch.iloc[40:]] if len(batch) > 40 else [batch]), Watermark())
+        assert state.calls - before <= 20
+    lives = [r.seq for piece in out for r in piece.itertuples() if r.op == "life"]
+    assert lives == [100]
+    assert len(state.held["touches"]) == 1 and len(state.timers) == 1
+    assert state.held["progress"] == {(n,): max((r[0], r[3]) for r in rows if r[1] == "progress" and r[2] == n) for n in "ab"}
