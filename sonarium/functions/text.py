@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -54,6 +55,8 @@ def near_char_distance(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), settle)[0]
 
 
+# word lists with more words than this together go to the helper: looking each word up among the pair's words is quadratic
+SHORT_WORDS = 128
 # code points from here on stand for the distinct words of one short pair
 _FIRST_CODE = 0x10000
 
@@ -74,11 +77,59 @@ def near_word_distance(a: Column, b: Column) -> Column:
     short = F.transform(
         F.array(F.array_distinct(F.concat(a, b))), lambda vocab: F.levenshtein(encode(a, vocab), encode(b, vocab))
     )[0]
-    return F.when(a == b, 0).when((F.size(a) + F.size(b)) <= 1000, short)
+    return F.when(a == b, 0).when((F.size(a) + F.size(b)) <= SHORT_WORDS, short)
+
+
+# alignments this many symbols behind the furthest one are given up
+_BEHIND = 14
+
+
+def least_edits(a: Sequence, b: Sequence) -> int:
+    """A lower bound of the edit distance: symbols of the longer sequence that no symbol of the other can stand for."""
+    return max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
+
+
+def walked_edits(a: Sequence, b: Sequence, limit: int) -> int | None:
+    """Edits of one alignment, or null if it takes more than ``limit``; linear in the length times the edits between neighbouring diagonals.
+
+    With each edit every diagonal goes as far as equal symbols let it (Ukkonen 1985); those far behind are given up, so the least number may be missed.
+    """
+    short, rest = (a, iter(b)) if len(a) <= len(b) else (b, iter(a))
+    if limit == abs(len(a) - len(b)) and all(symbol in rest for symbol in short):
+        return limit
+    n, m = len(a), len(b)
+    reached = {0: 0}  # diagonal j - i: the furthest j
+    for edits in range(limit + 1):
+        far = 0
+        for d, j in reached.items():
+            i = j - d
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            reached[d] = j
+            far = max(far, i + j)
+        if reached.get(m - n) == m:
+            return edits
+        moved: dict[int, int] = {}
+        for d, j in reached.items():
+            # a diagonal too far from the last one for the edits that are left cannot end in time
+            if 2 * j - d < far - _BEHIND or abs(m - n - d) > limit - edits:
+                continue
+            if j < m and moved.get(d + 1, -1) < j + 1:
+                moved[d + 1] = j + 1
+            if j < m and j - d < n and moved.get(d, -1) < j + 1:
+                moved[d] = j + 1
+            if j - d < n and moved.get(d - 1, -1) < j:
+                moved[d - 1] = j
+        reached = moved
+    return None
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Edit distance of two sequences, one matrix column per step as bits of one integer (Myers 1999, Hyyrö 2003)."""
+    """Edit distance of two sequences.
+
+    An alignment with as few edits as the symbols alone ask for settles the pair in time linear in its length. For the others a column of
+    the edit matrix is a step, as bits of one integer (Myers 1999, Hyyrö 2003).
+    """
     start, end = 0, 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -87,6 +138,12 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
+    settled = walked_edits(a, b, least_edits(a, b))
+    return matrix_distance(a, b) if settled is None else settled
+
+
+def matrix_distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences that are not empty, from all columns of the edit matrix."""
     shared, where = set(b), {}
     for i, symbol in enumerate(a):
         if symbol in shared:

@@ -1,6 +1,7 @@
 """Expressions and row-level operators on hand-made cases."""
 
 import difflib
+import random
 import re
 import string
 
@@ -233,3 +234,26 @@ def test_spectral_tone(spark):
     rows = [r["s"] for r in df.select(N.spectral_features(F.col("wave"), F.col("rate")).alias("s")).collect()]
     assert rows[0]["spectral_centroid_mean"] == pytest.approx(1000, rel=0.02) and rows[0]["spectral_rolloff_max"] == pytest.approx(1000, rel=0.02)
     assert rows[1]["spectral_centroid_mean"] == 0.0 and rows[2]["spectral_centroid_mean"] is None
+
+
+def test_edit_distance_by_bounds_and_by_matrix(monkeypatch):
+    """Long pairs whose edits are as few as their symbols ask for need no matrix; all others agree with it."""
+    rng = random.Random(5)
+    for _ in range(500):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
+        b = list(a) if rng.random() < 0.7 else [rng.choice("abcde") for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 5) if b else 0):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = [b[k], rng.choice("abz")] if rng.random() < 0.5 else [rng.choice("az")]
+        assert T.edit_distance(a, b) == T.edit_distance("".join(a), "".join(b)) == distance(a, b)
+
+    def no_matrix(a, b):
+        raise AssertionError("a matrix for a pair that its bounds settle")
+
+    monkeypatch.setattr(T, "matrix_distance", no_matrix)
+    text = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    kept = [w for k, w in enumerate(text) if k % 5]
+    assert T.edit_distance(kept, text) == T.edit_distance(text, kept) == 4000
+    assert T.edit_distance(" ".join(kept), " ".join(text)) == len(" ".join(text)) - len(" ".join(kept))
+    odd = ["0zq0" if k % 11 == 10 else w for k, w in enumerate(text) if k % 7 != 6]
+    assert T.edit_distance(odd, text) == 20_000 // 7 + 20_000 // 11 - 20_000 // 77
