@@ -151,7 +151,8 @@ class ResultLog:
         before, parts = self.manifest(), self.parts()
         version = before["version"] + 1
         log = self.log(parts)
-        buckets = max(1, -(-log.count() // self.part_keys))
+        # by keys, not by writes: a key written a hundred times is one row of the snapshot
+        buckets = max(1, -(-log.select("model", "key").distinct().count() // self.part_keys))
         tag = uuid.uuid4().hex[:8]
         part = F.concat(F.lit(f"snap-{version}-{tag}-"), F.pmod(F.xxhash64("model", "key"), F.lit(buckets)).cast("string"))
         last = latest_results(log).select(*LOG_TYPE.names).withColumn("part", part)

@@ -111,3 +111,13 @@ def test_filters_have_no_false_negatives_and_few_false_positives():
     others = rng.integers(-(1 << 63), (1 << 63) - 1, 2000)
     assert sum(filter_hits(packed, others[k : k + 1]) for k in range(2000)) <= 60
     assert filter_hits(filter_bits(np.array([1])), np.array([1])) and not filter_hits(filter_bits(np.zeros(0, np.int64)), np.array([1]))
+
+
+def test_a_snapshot_has_as_many_parts_as_its_keys_ask_for(spark, tmp_path):
+    log = ResultLog(spark, str(tmp_path / "log"), part_keys=40)
+    for step in range(3):
+        log.append(rows(spark, 0, 40, step, f"w{step}-").unionByName(rows(spark, 0, 40, step + 10, f"x{step}-")))
+    before = state(log)
+    log.compact()
+    assert 1 <= len(log.manifest()["snapshot"]) <= 2  # 80 keys of 480 writes
+    assert state(log) == before
