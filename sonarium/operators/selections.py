@@ -11,6 +11,11 @@ from sonarium.session import settle
 LEVELS = (2, 4, 6)
 _STEP = 4
 _TINY = 1e-9
+CELL = ["level", "cx", "cy"]
+#: Edges in a cell that are tested without a function per edge.
+_FEW = 4
+#: Shapes that one task turns into cells.
+_SHAPES_PER_TASK = 2_000
 
 
 def box_ring(x_low: Column, y_low: Column, x_high: Column, y_high: Column) -> Column:
@@ -33,14 +38,15 @@ def _edges(ring: Column) -> Column:
     return F.transform(ring, edge)
 
 
-def inside_edges(edges: Column, px: Column, py: Column) -> Column:
-    """Even-odd rule: a point is inside when an odd number of edges lies to its right."""
+def _right(e: Column, px: Column, py: Column) -> Column:
+    """1 if the edge lies to the right of the point, else 0; also without an edge."""
+    spans = (e.y0 > py) != (e.y1 > py)
+    return F.when(spans, (px < e.x0 + (py - e.y0) * ((e.x1 - e.x0) / (e.y1 - e.y0))).cast("int")).otherwise(0)
 
-    def right(e: Column) -> Column:
-        spans = (e.y0 > py) != (e.y1 > py)
-        return F.when(spans, (px < e.x0 + (py - e.y0) * ((e.x1 - e.x0) / (e.y1 - e.y0))).cast("int")).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), lambda n, e: n + right(e)) % 2 == 1
+def inside_edges(edges: Column, px: Column, py: Column) -> Column:
+    """Even-odd rule: a point is inside when an odd number of edges lies to its right."""
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + _right(e, px, py)) % 2 == 1
 
 
 def _touches(e: Column, x_low: Column, x_high: Column, y_low: Column, y_high: Column) -> Column:
@@ -76,8 +82,8 @@ def cover_shapes(shapes: DataFrame, bounds: DataFrame) -> DataFrame:
     grid = bounds.select(F.struct("x_low", "y_low", "x_size", "y_size")).scalar()
     box = F.struct(*[end(F.col(f"ring.{n}")).alias(f"{n}_{m}") for n in "xy" for m, end in (("low", F.array_min), ("high", F.array_max))])
     zero = F.lit(0)
-    # by a fixed number, as adaptive execution would put few shapes with many cells into one task
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by a counted number, as adaptive execution would put few shapes with many cells into one task
+    tasks = max(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shapes.count() // _SHAPES_PER_TASK))
     dealt = shapes.filter(usable).select("selection", "ring", "is_box").repartition(tasks, F.xxhash64("selection", "ring"))
     cells = dealt.select(
         "selection", F.when(F.col("is_box"), box).alias("box"), _edges(F.col("ring")).alias("edges"), grid.alias("grid"),
@@ -117,43 +123,73 @@ def cover_shapes(shapes: DataFrame, bounds: DataFrame) -> DataFrame:
     return cells.drop("grid")
 
 
+def _placed(points: DataFrame, bounds: DataFrame, x: str, y: str, **kept: str) -> DataFrame:
+    """The kept columns under their new names, ``_x, _y``, and the point's cell ``level, cx, cy`` at each level: a row per level."""
+    grid = bounds.select(F.struct("x_low", "y_low", "x_size", "y_size")).scalar()
+    placed = points.select(*[F.col(c).alias(n) for n, c in kept.items()], F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    placed = placed.filter(_finite(F.col("_x"), F.col("_y"))).withColumn("_g", grid)
+
+    def at(n: str, level: int) -> Column:
+        cell = F.floor((F.col(f"_{n}") - F.col(f"_g.{n}_low")) / F.col(f"_g.{n}_size") * (1 << level))
+        return F.least(cell, F.lit((1 << level) - 1)).cast("int")
+
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), at("x", k).alias("cx"), at("y", k).alias("cy")) for k in LEVELS])
+    return placed.select(*kept, "_x", "_y", F.inline(levels))
+
+
+def _meet(keyed: DataFrame, cover: DataFrame, per_part: int, per_task: int) -> DataFrame:
+    """Every pair of a point and a shape that share a cell.
+
+    A cell's points and its shapes are both dealt out, and a pair of parts is a key of the join. The tasks are counted from the pairs, so that
+    none makes many more than ``per_task``, however many there are in all; adaptive execution sees only the rows that go in.
+    """
+    shapes = cover.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = settle(keyed.join(F.broadcast(shapes), CELL).groupBy(*CELL, "_m").agg(F.count(F.lit(1)).alias("_n")))
+    pairs = int(sizes.agg(F.sum(F.col("_n").cast("decimal(38,0)") * F.col("_m"))).first()[0] or 0)
+    tasks = max(keyed.sparkSession.sparkContext.defaultParallelism, -(-pairs // per_task))
+    parts = F.broadcast(sizes.select(*CELL, *[F.ceil(F.col(n) / per_part).cast("int").alias(p) for n, p in (("_n", "_of_i"), ("_m", "_of_j"))]))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*[c for c in df.columns if c not in CELL]), f"_of{own}").cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"_of{other}") - 1))
+        placed = df.join(parts, CELL).withColumn(own, part).withColumn(other, every).drop("_of_i", "_of_j")
+        return placed.repartition(tasks, *CELL, "_i", "_j")
+
+    return dealt(keyed, "_i", "_j").join(dealt(cover, "_j", "_i"), [*CELL, "_i", "_j"])
+
+
+def _edge_pairs(keyed: DataFrame, cover: DataFrame, per_part: int, per_task: int) -> DataFrame:
+    """The pairs of points and shapes in cells that an edge touches, tested."""
+    # a test costs more than a pair that is taken as it is
+    met = _meet(keyed.filter(F.col("level") == LEVELS[-1]), cover.filter(~F.col("inside")).drop("inside"), per_part, max(per_task // 4, 1))
+    px, py, edges = F.col("_x"), F.col("_y"), F.col("edges")
+    in_box = px.between(F.col("box.x_low"), F.col("box.x_high")) & py.between(F.col("box.y_low"), F.col("box.y_high"))
+    # most cells hold few edges, which need no function per edge
+    few = F.when(F.size(edges) <= _FEW, sum(_right(F.get(edges, F.lit(k)), px, py) for k in range(_FEW)) % 2 == 1)
+    return met.filter(F.when(F.col("box").isNotNull(), in_box).otherwise(few.otherwise(inside_edges(edges, px, py))))
+
+
 def select_many(
-    points: DataFrame, shapes: DataFrame, key: str, x: str, y: str, per_part: int = 100_000
+    points: DataFrame, shapes: DataFrame, key: str, x: str, y: str, per_part: int = 2_000, per_task: int = 20_000_000
 ) -> DataFrame:
     """``selection, <key>``: the points of every shape of ``shapes (selection, ring array<struct<x, y>>, is_box)``.
 
     A ring is a polygon by the even-odd rule, or with ``is_box`` the corners of a box whose edges belong to it. The shapes are rows, so
     there may be any number of them; points meet shapes by an equality on grid cells, and only points of cells that an edge touches are tested.
 
-    The grid has 4,368 cells at most, whatever the data, so the cells that shapes use are broadcast with their number of points:
-    points elsewhere never reach the shuffle, and a crowded cell is dealt to one part per ``per_part`` points.
+    The grid has 4,368 cells at most, whatever the data, so the sizes of the cells that shapes use are broadcast: points elsewhere never
+    reach the shuffle, and a crowded cell is dealt to one part per ``per_part`` points and as many shapes. The result has a row per point and
+    shape, so its size is their product; tasks grow in number with it and make about ``per_task`` pairs each.
 
     Points with a null, NaN or infinite coordinate are in no shape; rings that are null, have fewer than three corners or such a coordinate
     hold nothing. Repeated points and shapes give repeated rows. Empty tables give no rows. Other columns are ignored.
     """
     bounds = grid_bounds(points, x, y)
     cover = settle(cover_shapes(shapes, bounds))
-    grid = bounds.select(F.struct("x_low", "y_low", "x_size", "y_size")).scalar()
-    placed = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    placed = placed.filter(_finite(F.col("_x"), F.col("_y"))).withColumn("_g", grid)
-
-    def at(n: str, level: int) -> Column:
-        cell = F.floor((F.col(f"_{n}") - F.col(f"_g.{n}_low")) / F.col(f"_g.{n}_size") * (1 << level))
-        return F.least(cell, F.lit((1 << level) - 1)).cast("int")
-
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), at("x", k).alias("cx"), at("y", k).alias("cy")) for k in LEVELS])
-    cell = ["level", "cx", "cy"]
-    keyed = placed.select("_key", "_x", "_y", F.inline(levels))
-    used = cover.select(*cell).distinct()
-    counts = keyed.join(F.broadcast(used), cell).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(counts), cell).withColumn("part", F.pmod(F.xxhash64("_key", "_x", "_y"), "parts").cast("int"))
-    offered = cover.join(F.broadcast(counts), cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = dealt.drop("parts").join(offered.drop("parts"), [*cell, "part"])
-    px, py = F.col("_x"), F.col("_y")
-
-    in_box = px.between(F.col("box.x_low"), F.col("box.x_high")) & py.between(F.col("box.y_low"), F.col("box.y_high"))
-    exact = F.when(F.col("box").isNull(), inside_edges(F.col("edges"), px, py)).otherwise(in_box)
-    return met.filter(F.col("inside") | exact).select("selection", F.col("_key").alias(key))
+    keyed = _placed(points, bounds, x, y, _key=key)
+    whole = _meet(keyed, cover.filter("inside").select("selection", *CELL), per_part, per_task)
+    tested = _edge_pairs(keyed, cover, per_part, per_task)
+    return whole.unionByName(tested, allowMissingColumns=True).select("selection", F.col("_key").alias(key))
 
 
 def select_groups(selected: DataFrame, rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -104,3 +104,14 @@ def test_select_groups(spark):
     facts = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, None)], "id long, label string")
     got = {(r["selection"], r["label"]): (r["count"], r["share"]) for r in selections.select_groups(chosen, facts, "id", "label").collect()}
     assert got == {(1, "a"): (2, 0.5), (1, None): (2, 0.5), (2, "a"): (1, 1.0)}
+
+
+def test_tasks_grow_with_the_pairs(spark):
+    points = [(i, float(i % 50), float(i // 50)) for i in range(2000)]
+    around = [(-99.0, -99.0), (99.0, -99.0), (99.0, 99.0), (-99.0, 99.0)]
+    small = [(20.5, 20.5), (21.5, 20.5), (21.5, 21.5), (20.5, 21.5)]
+    shapes = [(k, around, k % 2 == 0) for k in range(300)] + [(k, small, False) for k in range(300, 600)]
+    got = selected(spark, points, shapes, per_part=50, per_task=20_000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    # all points are in half of the shapes: 600,000 pairs, and adaptive execution would join them in one task
+    assert sum(sizes) == 300 * 2000 + 300 and max(sizes) < 100_000
