@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarium.operators.blocks import attach_small
 from sonarium.session import settle
 
 #: The grid: ``2**level`` cells a side. A shape's inner part takes large cells, its edge the smallest ones.
@@ -198,5 +199,29 @@ def select_groups(selected: DataFrame, rows: DataFrame, key: str, by: str) -> Da
     Rows of a group are counted by the tasks that hold them; only counts are shuffled, and the totals come from the counts.
     """
     counts = selected.join(rows.select(key, by), key).groupBy("selection", by).agg(F.count(F.lit(1)).alias("count"))
+    return _with_share(counts)
+
+
+def count_groups(
+    points: DataFrame, shapes: DataFrame, rows: DataFrame, key: str, x: str, y: str, by: str, per_part: int = 2_000, per_task: int = 20_000_000
+) -> DataFrame:
+    """The counts and shares that :func:`select_groups` gives for :func:`select_many`, without a row per point and shape.
+
+    The groups are counted once per grid cell, and a shape adds up the counts of the cells it holds whole; only in cells that its edge
+    touches are points tested one by one.
+    """
+    bounds = grid_bounds(points, x, y)
+    cover = settle(cover_shapes(shapes, bounds))
+    at = points.select(F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    known = settle(at.join(rows.select(F.col(key).alias("_key"), F.col(by).alias("_by")), "_key"))
+    keyed = _placed(known, bounds, "_px", "_py", _key="_key", _by="_by")
+    held = keyed.groupBy(*CELL, "_by").agg(F.count(F.lit(1)).alias("_n"))
+    whole = attach_small(cover.filter("inside").select("selection", *CELL), held, CELL)
+    tested = _edge_pairs(keyed, cover, per_part, per_task).withColumn("_n", F.lit(1).cast("long"))
+    found = whole.select("selection", "_by", "_n").unionByName(tested.select("selection", "_by", "_n"))
+    return _with_share(found.groupBy("selection", F.col("_by").alias(by)).agg(F.sum("_n").alias("count")))
+
+
+def _with_share(counts: DataFrame) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy("selection"))
     return counts.withColumn("share", F.col("count") / total)

@@ -540,8 +540,9 @@ def embed_select_many(spark: SparkSession, sf: str) -> DataFrame:
     SELECT selection, label, n AS "count", {sql_rnd("n / sum(n) OVER (PARTITION BY selection)")} AS share FROM c""",
 )
 def embed_many_labels(spark: SparkSession, sf: str) -> DataFrame:
+    plotted = settle(points(spark, sf))
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
-    return S.select_groups(embed_select_many(spark, sf), labels, "vec_id", "label").withColumn("share", rnd("share"))
+    return S.count_groups(plotted, shapes(plotted), labels, "vec_id", "x", "y", "label").withColumn("share", rnd("share"))
 
 
 BOX_SQL = "SELECT vec_id FROM pts WHERE x BETWEEN -0.1 AND 0.05 AND y BETWEEN 0.0 AND 0.2"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonarium.operators import embed, selections
+from sonarium.plans import cohort
 
 SHAPE = "selection long, ring array<struct<x:double,y:double>>, is_box boolean"
 
@@ -115,3 +116,29 @@ def test_tasks_grow_with_the_pairs(spark):
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     # all points are in half of the shapes: 600,000 pairs, and adaptive execution would join them in one task
     assert sum(sizes) == 300 * 2000 + 300 and max(sizes) < 100_000
+
+
+def test_groups_counted_by_cells(spark):
+    rng = np.random.default_rng(3)
+    points = [(i % 900, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(1000, 2)))] + [(None, 0.0, 0.0), (1, None, 0.0), (2, 0.1, 0.1)]
+    facts = [(i, None if i % 11 == 0 else f"g{i % 3}") for i in range(950)] + [(5, "g0"), (7, None), (None, "g1")]
+    shapes = [(k, star(rng, 12), False) for k in range(40)] + [(k, [(-2.0, -1.0), (2.5, -1.0), (2.5, 3.0), (-2.0, 3.0)], True) for k in (39, 40, None)]
+    p = spark.createDataFrame(points, "id long, x double, y double").withColumns({"selection": F.lit(1), "level": F.lit(2)})
+    s, f = spark.createDataFrame(shapes, SHAPE), spark.createDataFrame(facts, "id long, level string")
+    got = selections.count_groups(p, s, f, "id", "x", "y", "level", per_part=50)
+    expected = selections.select_groups(selections.select_many(p, s, "id", "x", "y"), f, "id", "level")
+    assert got.dtypes == expected.dtypes and got.columns == ["selection", "level", "count", "share"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_label_counts_make_no_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = cohort.embed_select_many(spark, str(tmp_path)).count()
+
+    def no_pairs(*_, **__):
+        raise AssertionError("a row per point and shape")
+
+    monkeypatch.setattr(selections, "select_many", no_pairs)
+    assert cohort.embed_many_labels(spark, str(tmp_path)).agg(F.sum("count")).first()[0] == pairs > 0
