@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -179,16 +180,22 @@ def error_rate(distance: Column, truth_length: Column, predicted_length: Column)
     )
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings or two word lists; no Catalyst form exists."""
-    return pd.Series(
-        [
-            None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
-            for x, y in zip(
-                (v if v is None or isinstance(v, str) else list(v) for v in a),
-                (v if v is None or isinstance(v, str) else list(v) for v in b),
-            )
-        ],
-        dtype="float64",
-    )
+def ratios(a: pa.Array, b: pa.Array, parts: Callable[[str], Sequence]) -> pa.Array:
+    """Ratcliff-Obershelp ratio of each pair. One pair's strings are Python objects at a time, whatever the size of the batch."""
+
+    def ratio(x: str | None, y: str | None) -> float | None:
+        return None if x is None or y is None else difflib.SequenceMatcher(None, parts(x), parts(y)).ratio()
+
+    return pa.array((ratio(a[i].as_py(), b[i].as_py()) for i in range(len(a))), pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def text_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Similarity of two texts in characters; no Catalyst form exists."""
+    return ratios(a, b, str)
+
+
+@F.arrow_udf(DoubleType())
+def word_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Similarity of two cleaned texts in words; the words are split here, so that no word lists travel."""
+    return ratios(a, b, lambda text: [w for w in text.split(" ") if w])

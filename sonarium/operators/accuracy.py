@@ -14,7 +14,8 @@ from sonarium.functions.text import (
     far_distance,
     near_char_distance,
     near_word_distance,
-    sequence_ratio,
+    text_ratio,
+    word_ratio,
     words,
 )
 
@@ -60,7 +61,7 @@ def transcript_accuracy(
     ``accuracy_percentage`` and ``character_similarity`` send every text to a Python worker, the distances only long ones.
     """
     forms = {
-        "accuracy_percentage": lambda: sequence_ratio("_pw", "_tw") * 100,
+        "accuracy_percentage": lambda: word_ratio("_p", "_t") * 100,
         "word_error_rate": lambda: F.when(
             F.col("_t").isNotNull(),
             error_rate(F.col("_wd"), F.size("_tw"), F.size("_pw")),
@@ -70,7 +71,7 @@ def transcript_accuracy(
             error_rate(F.col("levenshtein_distance"), F.length("_t"), F.length("_p")),
         ),
         "exact_match": lambda: (F.col("_p") == F.col("_t")).cast("double"),
-        "character_similarity": lambda: sequence_ratio("_p", "_t") * 100,
+        "character_similarity": lambda: text_ratio("_p", "_t") * 100,
         "word_count_predicted": lambda: F.when(F.col("_t").isNotNull(), F.size("_pw")).otherwise(
             count_words(F.col(predicted))
         ),

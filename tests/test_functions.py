@@ -4,8 +4,10 @@ import difflib
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,27 @@ def test_accuracy_metrics(spark):
         assert (r["word_count_predicted"], r["word_count_truth"]) == (len(pw), len(tw))
 
 
+def test_similarity_holds_one_pair():
+    """A batch of pairs does not become a batch of Python strings or word lists."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 9000, 200)) for _ in range(400)]
+    a, b = pa.array([*texts, None, ""]), pa.array([*texts[1:], texts[0], "x", ""])
+    tracemalloc.start()
+    got = T.word_ratio.func(a, b).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [None if x is None else difflib.SequenceMatcher(None, x.split(), y.split()).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())]
+    assert peak < 1_000_000
+    assert T.text_ratio.func(a[-2:], b[-2:]).to_pylist() == [None, 1.0]
+
+
+def test_similarity_sends_two_texts(spark):
+    df = spark.createDataFrame(PAIRS, "clip string, predicted string, truth string")
+    plan = accuracy.transcript_accuracy(df, metrics=("accuracy_percentage", "character_similarity"))._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "EvalPython" in line]
+    assert len(sent) == 1 and "ratio(_pw" not in sent[0] and "word_ratio(_p" in sent[0] and "text_ratio(_p" in sent[0]
+
+
 def test_wide_distances(spark):
     """Short, near and far pairs, of characters and of many distinct words, agree with the plain matrix."""
     rng = np.random.default_rng(0)
